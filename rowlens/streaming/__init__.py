@@ -1,0 +1 @@
+"""Kept empty on purpose: the analysis works on whole tables and has no streaming operators."""
