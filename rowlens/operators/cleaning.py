@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.numbers import formatted_text_to_number, is_formatted_number, to_number
 from rowlens.operators.counts import present
-from rowlens.operators.quality import COLUMNS_PER_AGGREGATE, duplicate_count
+from rowlens.operators.quality import (
+    COLUMNS_PER_AGGREGATE,
+    Repeated,
+    repeated_hashes,
+    without_duplicates,
+)
 from rowlens.operators.quantiles import column_quantiles
 from rowlens.operators.roles import boolean_names, datetime_names, numeric_names, text_names
 from rowlens.session import column, small_table, stage_table
@@ -50,8 +55,8 @@ def trim_headers(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One of each group of equal rows; copies are combined before the shuffle."""
-    return df.dropDuplicates()
+    """One of each group of equal rows."""
+    return without_duplicates(df)
 
 
 def text_number_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
@@ -160,19 +165,25 @@ def missing_dates(df: DataFrame) -> DataFrame:
     ).where("n_missing > 0")
 
 
-def clean_with_report(df: DataFrame, approx: bool = False) -> Cleaned:
-    """De-duplicate, convert number-like text, fill missing values."""
+def clean_with_report(
+    df: DataFrame, approx: bool = False, repeated: Repeated | None = None
+) -> Cleaned:
+    """De-duplicate, convert number-like text, fill missing values.
+
+    ``repeated`` are the hashes of possible copies, where they are known already.
+    """
     spark = df.sparkSession
     df = trim_headers(df)
     original = df.count()
     if original == 0:
         return Cleaned(df, small_table(spark, [], REPORT_SCHEMA), 0, 0, 0)
 
-    duplicates = duplicate_count(df).first()["duplicate_rows"]
-    if duplicates:
-        # Five passes follow; without a written copy each would shuffle the whole table again.
-        df = stage_table(drop_duplicates(df), "deduplicated")
-    rows = original - duplicates
+    rows = original
+    repeated = repeated or repeated_hashes(df)
+    if repeated.count:
+        # Several passes follow; a written copy lets each read only the columns it needs.
+        df = stage_table(without_duplicates(df, repeated), "deduplicated")
+        rows = df.count()
 
     facts = text_number_facts(df, text_names(df))
     conversions = text_conversions(facts)
@@ -215,7 +226,7 @@ def clean_with_report(df: DataFrame, approx: bool = False) -> Cleaned:
         numbers.select(*columns),
         small_table(spark, actions, REPORT_SCHEMA),
         original,
-        duplicates,
+        original - rows,
         rows,
     )
 

@@ -13,19 +13,21 @@ from rowlens.functions.statistics import percent, sample_skewness
 from rowlens.operators.counts import distinct_counts, value_frequencies
 from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import Roles, find_roles
-from rowlens.session import column, small_table
+from rowlens.session import column, pin, run_together, small_table
 
 # Measures per aggregate, so that the buffers of one aggregate stay within generated code.
 MEASURES_PER_AGGREGATE = 6
+QUARTILES = [0.25, 0.5, 0.75]
 ALL_MISSING = "All values are NaN"
 
 
 @dataclass
 class Profile:
-    """The profile of a table: roles and one result table per kind of column."""
+    """The profile of a table: roles, quartiles, and one result table per kind of column."""
 
     row_count: int
     roles: Roles
+    quartiles: dict[str, list[float | None]]
     numeric: DataFrame
     categorical: DataFrame
     datetime: DataFrame
@@ -53,13 +55,19 @@ def _four(c: Column) -> Column:
 
 
 def numeric_profile(
-    df: DataFrame, names: list[str] | None = None, approx: bool = False
+    df: DataFrame,
+    names: list[str] | None = None,
+    approx: bool = False,
+    quartiles: dict[str, list[float | None]] | None = None,
 ) -> DataFrame:
-    """One row per measure; a measure without values only gets a skip reason."""
+    """One row per measure; a measure without values only gets a skip reason.
+
+    ``quartiles`` may be given where they are known already.
+    """
     names = find_roles(df).numeric if names is None else names
     if not names:
         return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
-    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75], approx)
+    quartiles = quartiles or column_quantiles(df, names, QUARTILES, approx)
 
     def fields(name: str) -> list[Column]:
         c = numeric_value(name)
@@ -236,14 +244,24 @@ def all_null_skip(df: DataFrame) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame, approx: bool = False) -> Profile:
+    """Profile all columns; the three kinds run at the same time."""
     roles = find_roles(df)
-    return Profile(
-        row_count=df.count(),
-        roles=roles,
-        numeric=numeric_profile(df, roles.numeric, approx),
-        categorical=categorical_profile(df, roles.categorical),
-        datetime=datetime_profile(df, roles.datetime, approx),
+
+    def measures() -> tuple[dict[str, list[float | None]], DataFrame]:
+        quartiles = column_quantiles(df, roles.numeric, QUARTILES, approx)
+        return quartiles, pin(numeric_profile(df, roles.numeric, approx, quartiles))
+
+    done = run_together(
+        df.sparkSession,
+        {
+            "rows": df.count,
+            "measures": measures,
+            "categories": lambda: pin(categorical_profile(df, roles.categorical)),
+            "dates": lambda: pin(datetime_profile(df, roles.datetime, approx)),
+        },
     )
+    quartiles, numeric = done["measures"]
+    return Profile(done["rows"], roles, quartiles, numeric, done["categories"], done["dates"])
 
 
 def profile_long(profile: Profile) -> DataFrame:

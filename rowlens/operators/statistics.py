@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 
 from rowlens.functions.statistics import pairwise_correlation
 from rowlens.operators.counts import present
-from rowlens.operators.profile import MEASURES_PER_AGGREGATE, per_column, top_values
+from rowlens.operators.profile import (
+    MEASURES_PER_AGGREGATE,
+    QUARTILES,
+    per_column,
+    top_values,
+)
 from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import Roles
 from rowlens.session import column, small_table
@@ -27,9 +32,17 @@ ANALYSES = (
 )
 
 
-def descriptive_stats(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
-    """Unrounded summary per measure; measures without values are left out."""
-    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75], approx)
+Quartiles = dict[str, list[float | None]]
+
+
+def descriptive_stats(
+    df: DataFrame, names: list[str], approx: bool = False, quartiles: Quartiles | None = None
+) -> DataFrame:
+    """Unrounded summary per measure; measures without values are left out.
+
+    ``quartiles`` may be given where they are known already, here and in the outlier functions.
+    """
+    quartiles = quartiles or column_quantiles(df, names, QUARTILES, approx)
 
     def fields(name: str) -> list[Column]:
         c = numeric_value(name)
@@ -141,11 +154,15 @@ def trend_change(
 
 
 def outlier_fences(
-    df: DataFrame, names: list[str], approx: bool = False
+    df: DataFrame, names: list[str], approx: bool = False, quartiles: Quartiles | None = None
 ) -> dict[str, tuple[float, float]]:
     """Quartiles widened by 1.5 interquartile ranges, for columns with values."""
+    if quartiles is None:
+        found = column_quantiles(df, names, [0.25, 0.75], approx)
+        quartiles = {n: [q1, None, q3] for n, (q1, q3) in found.items()}
     fences = {}
-    for name, (q1, q3) in column_quantiles(df, names, [0.25, 0.75], approx).items():
+    for name in names:
+        q1, _, q3 = quartiles[name]
         if q1 is not None:
             fences[name] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return fences
@@ -156,9 +173,11 @@ def _outside(name: str, fence: tuple[float, float]) -> Column:
     return (value < fence[0]) | (value > fence[1])
 
 
-def iqr_outliers(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, names: list[str], approx: bool = False, quartiles: Quartiles | None = None
+) -> DataFrame:
     """Values strictly outside the fences per measure with at least four values."""
-    fences = outlier_fences(df, names, approx)
+    fences = outlier_fences(df, names, approx, quartiles)
     known = [n for n in names if n in fences]
     if not known:
         return small_table(df.sparkSession, [], OUTLIER_SCHEMA)
@@ -257,23 +276,27 @@ def run_analyses(
     roles: Roles,
     approx: bool = False,
     tie_break: list[str] | None = None,
+    quartiles: Quartiles | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Result table per analysis, and (analysis, status, reason) for all that was asked for.
 
     Unknown names do not stop the others; an empty request or one with no known name does.
+    Quartiles are computed once for the analyses that share them.
     """
     if not analyses:
         raise ValueError("no analyses requested")
     reasons = dict(skip_reasons(roles))
     results: dict[str, DataFrame] = {}
     status = []
+    if quartiles is None and {"descriptive_stats", "outlier_detection"} & set(analyses):
+        quartiles = column_quantiles(df, roles.numeric, QUARTILES, approx)
     for name in dict.fromkeys(analyses):
         if name not in ANALYSES:
             status.append((name, "unsupported", None))
         elif name in reasons:
             status.append((name, "skipped", reasons[name]))
         else:
-            results[name] = _analysis(df, name, roles, approx, tie_break)
+            results[name] = _analysis(df, name, roles, quartiles, tie_break)
             status.append((name, "done", None))
     if all(state == "unsupported" for _, state, _ in status):
         raise ValueError("none of the requested analyses is known")
@@ -282,10 +305,10 @@ def run_analyses(
 
 
 def _analysis(
-    df: DataFrame, name: str, roles: Roles, approx: bool, tie_break: list[str] | None
+    df: DataFrame, name: str, roles: Roles, quartiles: Quartiles, tie_break: list[str] | None
 ) -> DataFrame:
     if name == "descriptive_stats":
-        return descriptive_stats(df, roles.numeric, approx)
+        return descriptive_stats(df, roles.numeric, quartiles=quartiles)
     if name == "correlation_analysis":
         return correlation_matrix(df, roles.numeric)
     if name == "trend_analysis":
@@ -293,7 +316,7 @@ def _analysis(
         ties = default_tie_break(df, roles, [date]) if tie_break is None else tie_break
         return trend_change(df, date, roles.numeric, ties)
     if name == "outlier_detection":
-        return iqr_outliers(df, roles.numeric, approx)
+        return iqr_outliers(df, roles.numeric, quartiles=quartiles)
     if name == "value_counts_analysis":
         return value_counts(df, roles.categorical)
     return grouped_summary(df, roles.categorical[0], roles.numeric[0])

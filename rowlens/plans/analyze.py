@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,17 @@ from pyspark.sql import functions as F
 from rowlens.operators import findings as fd
 from rowlens.operators.cleaning import Cleaned, clean_with_report
 from rowlens.operators.profile import Profile, dataset_overview, dataset_profile
-from rowlens.operators.quality import reliability_checklist, validation_report
+from rowlens.operators.quality import (
+    duplicate_count,
+    reliability_checklist,
+    repeated_hashes,
+    validation_report,
+)
 from rowlens.operators.review import analysis_coverage, template_insights
 from rowlens.operators.statistics import run_analyses, stats_long
 from rowlens.plans.chart_data import charts_long, run_charts
 from rowlens.plans.rules import Plan, TableFacts, propose_plan, with_auto_charts
-from rowlens.session import pin, small_table
+from rowlens.session import pin, run_together, small_table
 
 
 @dataclass
@@ -59,43 +65,42 @@ def analyze(df: DataFrame, plan: Plan | None = None, approx: bool = False) -> An
     Every result table is computed once and kept as local data, because findings and report are
     built from several of them. Passes over the data read only the columns they need.
     """
-    validation = pin(validation_report(df))
+    spark = df.sparkSession
+    repeated = repeated_hashes(df)
+    validation = pin(validation_report(df, duplicate_count(df, repeated)))
     if validation.first()["row_count"] == 0:
         raise ValueError("the table has no rows")
-    cleaned = clean_with_report(df, approx)
+    cleaned = clean_with_report(df, approx, repeated)
     table = cleaned.table
 
     profile = dataset_profile(table, approx)
-    profile.numeric = pin(profile.numeric)
-    profile.categorical = pin(profile.categorical)
-    profile.datetime = pin(profile.datetime)
-
+    roles = profile.roles
     values = {
         r["column"]: r["unique_values"] or 0
         for r in profile.categorical.select("column", "unique_values").collect()
     }
-    facts = TableFacts(profile.row_count, profile.roles, values)
-    plan = plan or propose_plan(facts)
-    results, log = run_analyses(table, list(plan.analyses), profile.roles, approx)
-    results = {name: pin(frame) for name, frame in results.items()}
-    expected = [(name,) for name in propose_plan(facts).analyses]
-    missing = analysis_coverage(small_table(df.sparkSession, expected, "analysis string"), log)
-
-    charts = with_auto_charts(table, plan.charts)
-    chart_tables, chart_log = run_charts(table, charts)
-
+    facts = TableFacts(profile.row_count, roles, values)
+    proposed = propose_plan(facts)
+    plan = plan or proposed
+    lazy, log = run_analyses(table, list(plan.analyses), roles, approx, quartiles=profile.quartiles)
+
+    # Analyses and charts do not depend on each other.
+    steps = {name: partial(pin, frame) for name, frame in lazy.items()}
+    steps["charts"] = lambda: run_charts(table, with_auto_charts(table, plan.charts))
+    done = run_together(spark, steps)
+    chart_tables, chart_log = done.pop("charts")
+    results = {name: done[name] for name in lazy}
+
+    expected = small_table(spark, [(name,) for name in proposed.analyses], "analysis string")
+    missing = analysis_coverage(expected, log)
     insights = None
     if results:
-        names = profile.roles
-        insights = pin(
-            template_insights(
-                results, next(iter(names.numeric), None), next(iter(names.categorical), None)
-            )
-        )
+        measure, category = (next(iter(n), None) for n in (roles.numeric, roles.categorical))
+        insights = pin(template_insights(results, measure, category))
     found = pin(fd.finding_facts(validation, results))
     report = report_tables(
-        found, results, validation, insights, chart_log,
-        dataset_overview(table, profile.roles), cleaned.duplicates_removed, plan.summary,
+        found, results, validation, insights, chart_log, dataset_overview(table, roles),
+        cleaned.duplicates_removed, plan.summary,
     )
     return Analysis(
         validation, cleaned, profile, plan, results, log, missing, chart_tables, chart_log,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.operators import charts as c
 from rowlens.operators.roles import numeric_names
 from rowlens.plans.rules import Chart, kind_of
-from rowlens.session import small_table
+from rowlens.session import run_together, small_table
 
 
 def _long(frame: DataFrame, label: Column, **series: Column) -> DataFrame:
@@ -113,14 +115,22 @@ def run_charts(
 
     A chart the table does not allow is recorded and does not stop the others.
     """
-    tables, log = {}, []
-    for number, chart in enumerate(charts, 1):
-        kind = kind_of(chart.chart_type)
+    def attempt(chart: Chart) -> DataFrame | str:
         try:
-            tables[number] = chart_data(df, chart)
-            log.append((number, kind, "done", chart.reason))
+            return chart_data(df, chart)
         except ValueError as problem:
-            log.append((number, kind, "unsupported", f"{chart.chart_type}: {problem}"))
+            return f"{chart.chart_type}: {problem}"
+
+    numbered = dict(enumerate(charts, 1))
+    done = run_together(
+        df.sparkSession, {i: partial(attempt, chart) for i, chart in numbered.items()}
+    )
+    tables = {i: table for i, table in done.items() if not isinstance(table, str)}
+    log = [
+        (i, kind_of(c.chart_type), "done" if i in tables else "unsupported",
+         c.reason if i in tables else done[i])
+        for i, c in numbered.items()
+    ]
     schema = "chart_no int, chart_type string, status string, reason string"
     return tables, small_table(df.sparkSession, log, schema)
 

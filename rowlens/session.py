@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,6 +18,7 @@ from pyspark.sql.types import StructType
 # Result tables (one row per column, pair or category) up to this many rows may be
 # held as local data; anything larger stays a lazy DataFrame.
 SMALL_RESULT_ROWS = 10_000
+JOBS_TOGETHER = 8
 
 _local_folders: dict[str, str] = {}
 
@@ -89,6 +94,17 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=fields))
 
 
+def run_together(spark: SparkSession, tasks: dict[Any, Callable[[], Any]]) -> dict[Any, Any]:
+    """Run independent driver-side steps at the same time, so that their jobs share the cluster."""
+    if len(tasks) < 2:
+        return {key: task() for key, task in tasks.items()}
+    with ThreadPoolExecutor(min(JOBS_TOGETHER, len(tasks))) as pool:
+        running = {
+            key: pool.submit(inheritable_thread_target(spark)(task)) for key, task in tasks.items()
+        }
+        return {key: future.result() for key, future in running.items()}
+
+
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Put one-row frames with different columns side by side in one row.
 
