@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,10 @@ def _auto_sql(table: str, metric: str | None, cats: tuple, date: str | None, num
     )
 
 
+def _auto(t: Tables, name: str) -> DataFrame:
+    return chart_table(t.spark, tuple(auto_charts(t[name])))
+
+
 _NUMBERS = {
     "orders": ("o_orderkey", "o_custkey", "o_totalprice"),
     "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -229,7 +235,7 @@ QUERIES = [
     ),
     Query(
         "usable_categories", "table_name:s column:s n_values:i",
-        lambda t: stacked({n: _categories(t, n) for n in _CATEGORIES}),
+        lambda t: stacked({n: partial(_categories, t, n) for n in _CATEGORIES}),
         union_all(
             f"""SELECT '{n}' AS table_name, '{col}' AS "column", count(DISTINCT {col}) AS n_values
                 FROM {n}"""
@@ -346,9 +352,9 @@ QUERIES = [
         "histogram_18", "table_name:s bin:i low:4 high:4 n:i",
         lambda t: stacked(
             {
-                "events": c.histogram(t["events"], "value"),
-                "lineitem": c.histogram(t["lineitem"], "l_extendedprice"),
-                "part": c.histogram(t["part"], "p_size"),
+                "events": lambda: c.histogram(t["events"], "value"),
+                "lineitem": lambda: c.histogram(t["lineitem"], "l_extendedprice"),
+                "part": lambda: c.histogram(t["part"], "p_size"),
             }
         ),
         union_all(
@@ -404,8 +410,8 @@ QUERIES = [
         "table_name:s position:i chart_type:s columns:s reason:s auto_generated:b",
         lambda t: stacked(
             {
-                **{n: chart_table(t.spark, tuple(auto_charts(t[n]))) for n in _AUTO_TABLES},
-                "planned": chart_table(
+                **{n: partial(_auto, t, n) for n in _AUTO_TABLES},
+                "planned": lambda: chart_table(
                     t.spark,
                     with_auto_charts(
                         t["events"],

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.catalog import sql
@@ -17,7 +19,7 @@ from rowlens.operators.quality import validation_report
 from rowlens.operators.review import template_insights
 from rowlens.operators.statistics import correlation_matrix, iqr_outliers
 from rowlens.plans.analyze import report_tables
-from rowlens.session import pin
+from rowlens.session import pin, run_together
 
 SALES_REPORT = sql.validation(SALES, SALES_COLUMNS)
 _GAP_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant", "gross")
@@ -28,25 +30,32 @@ STABLE, STAY = fd.STABLE, fd.STAY
 # --- Spark side -----------------------------------------------------------------------------
 
 
-def _small(results: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {name: pin(frame) for name, frame in results.items()}
+def pinned(results: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Small results as local data, computed at the same time."""
+    tasks = {name: partial(pin, frame) for name, frame in results.items()}
+    return run_together(SparkSession.active(), tasks)
 
 
-def _sales_facts(t: Tables, results: dict[str, DataFrame]) -> DataFrame:
-    return pin(fd.finding_facts(validation_report(sales(t)), results))
+def _facts(df: DataFrame, results) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The facts of a table and the results they come from; ``results`` computes the latter."""
+    done = run_together(
+        df.sparkSession,
+        {"report": lambda: pin(validation_report(df)), "results": lambda: pinned(results())},
+    )
+    return pin(fd.finding_facts(done["report"], done["results"])), done["results"]
 
 
 def _both(t: Tables, finding) -> DataFrame:
     """A finding for the sales view and for the dirty view."""
-    results = _small(
-        sales_results(t, ("correlation_analysis", "trend_analysis", "outlier_detection"))
-    )
+    kinds = ("correlation_analysis", "trend_analysis", "outlier_detection")
     dirty = t.view(DIRTY, "orders")
-    dirty_results = _small({"outlier_detection": iqr_outliers(dirty, ["price"])})
-    dirty_facts = pin(fd.finding_facts(validation_report(dirty), dirty_results))
     return stacked(
-        {"sales": finding(_sales_facts(t, results), results),
-         "dirty": finding(dirty_facts, dirty_results)}
+        {
+            "sales": lambda: finding(*_facts(sales(t), lambda: sales_results(t, kinds))),
+            "dirty": lambda: finding(
+                *_facts(dirty, lambda: {"outlier_detection": iqr_outliers(dirty, ["price"])})
+            ),
+        }
     )
 
 
@@ -55,8 +64,15 @@ def _gap_matrix(t: Tables) -> DataFrame:
 
 
 def _report(t: Tables) -> DataFrame:
-    df, results = sales(t), _small(sales_results(t))
-    validation = pin(validation_report(df))
+    df = sales(t)
+    done = run_together(
+        t.spark,
+        {
+            "validation": lambda: pin(validation_report(df)),
+            "results": lambda: pinned(sales_results(t)),
+        },
+    )
+    validation, results = done["validation"], done["results"]
     insights = pin(template_insights(results, "quantity", "l_returnflag"))
     return report_tables(
         pin(fd.finding_facts(validation, results)), results, validation, insights, None,

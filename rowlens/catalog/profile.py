@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ def each(parts: dict, one) -> str:
     return union_all(one(t, c) for t, names in parts.items() for c in names)
 
 
-def over(parts: dict, frame) -> dict[str, DataFrame]:
-    return {name: frame(name, list(columns)) for name, columns in parts.items()}
+def over(parts: dict, frame) -> dict:
+    """The frame of each table, to be built together."""
+    return {name: partial(frame, name, list(columns)) for name, columns in parts.items()}
 
 
 def numeric_sql(table: str, c: str) -> str:

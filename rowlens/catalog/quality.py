@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def _report(df: DataFrame) -> DataFrame:
     )
 
 
+def _reports(t: Tables) -> dict:
+    frames = {"dirty": _dirty(t), **{n: t[n] for n in TABLE_COLUMNS}}
+    return {name: partial(_report, frame) for name, frame in frames.items()}
+
+
 REPORT_NAMES = (
     "row_count", "column_count", "missing_cells", "missing_percent", "duplicate_rows",
     "duplicate_percent", "empty_columns", "constant_columns", "health_score", "health_grade",
@@ -104,9 +111,7 @@ QUERIES = [
     ),
     Query(
         "health_score", "table_name:s health_score:2",
-        lambda t: stacked(
-            {"dirty": _report(_dirty(t)), **{n: _report(t[n]) for n in TABLE_COLUMNS}}
-        ),
+        lambda t: stacked(_reports(t)),
         f"SELECT 'dirty' AS table_name, health_score FROM ({DIRTY_REPORT}) UNION ALL "
         + " UNION ALL ".join(
             f"SELECT '{n}' AS table_name, health_score "
@@ -122,9 +127,7 @@ QUERIES = [
     ),
     Query(
         "validation_report", "table_name:s " + _REPORT_COLUMNS,
-        lambda t: stacked(
-            {"dirty": _report(_dirty(t)), **{n: _report(t[n]) for n in TABLE_COLUMNS}}
-        ),
+        lambda t: stacked(_reports(t)),
         "\nUNION ALL\n".join(
             f"""SELECT '{n}' AS table_name, * REPLACE (array_to_string(warnings, ' | ') AS warnings)
                 FROM ({sql.validation(rel, c)})"""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.session import column
+from rowlens.session import column, run_together
 
 
 class Tables:
@@ -74,8 +74,17 @@ def union_all(parts) -> str:
     return "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-def stacked(parts: dict[str, DataFrame], name: str = "table_name") -> DataFrame:
-    """Union of frames of one shape, each marked with its key."""
+def stacked(
+    parts: dict[str, DataFrame | Callable[[], DataFrame]], name: str = "table_name"
+) -> DataFrame:
+    """Union of frames of one shape, each marked with its key.
+
+    Frames that take a job to build are given as functions and built at the same time.
+    """
+    to_build = {key: part for key, part in parts.items() if callable(part)}
+    if to_build:
+        built = run_together(SparkSession.active(), to_build)
+        parts = {key: built.get(key, part) for key, part in parts.items()}
     result = None
     for key, frame in parts.items():
         frame = frame.select(F.lit(key).alias(name), "*")

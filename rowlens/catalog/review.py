@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.catalog.findings import insights
+from rowlens.catalog.findings import insights, pinned
 from rowlens.catalog.registry import Query, Tables, stacked, union_all
 from rowlens.catalog.statistics import sales_results
 from rowlens.operators import review as r
@@ -21,7 +23,7 @@ from rowlens.plans.rules import (
     propose_plan,
     table_facts,
 )
-from rowlens.session import pin, small_table
+from rowlens.session import small_table
 
 # Number of measures and dates, and the text columns, per table.
 _SHAPES = {
@@ -210,16 +212,16 @@ _RESPONSES_SQL = f"""SELECT p_partkey,
 QUERIES = [
     Query(
         "analysis_plan", "table_name:s position:i analysis:s selected:b reason:s",
-        lambda t: stacked({n: analysis_plan(t[n]) for n in _SHAPES}),
+        lambda t: stacked({n: partial(analysis_plan, t[n]) for n in _SHAPES}),
         union_all(_plan_sql(n, *shape) for n, shape in _SHAPES.items()),
     ),
     Query(
         "plan_guardrails", "table_name:s kind:s position:i name:s columns:s reason:s",
-        lambda t: stacked({n: _guarded(t, n) for n in _GUARDED}), _guarded_sql(),
+        lambda t: stacked({n: partial(_guarded, t, n) for n in _GUARDED}), _guarded_sql(),
     ),
     Query(
         "analysis_coverage", "table_name:s analysis:s",
-        lambda t: stacked({n: _coverage(t, n) for n in _COVERED}), _COVERAGE_SQL,
+        lambda t: stacked({n: partial(_coverage, t, n) for n in _COVERED}), _COVERAGE_SQL,
     ),
     Query(
         "review_decision", "run:i round:i approved:b decision:s missing:s",
@@ -252,7 +254,7 @@ QUERIES = [
     Query(
         "template_insights", "position:i source_analysis:s text:s",
         lambda t: r.template_insights(
-            {n: pin(f) for n, f in sales_results(t, ANALYSES).items()}, "quantity", "l_returnflag"
+            pinned(sales_results(t, ANALYSES)), "quantity", "l_returnflag"
         ),
         insights(),
     ),

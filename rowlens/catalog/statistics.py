@@ -107,9 +107,11 @@ QUERIES = [
         "table_name:s column:s count:i mean:4 std:4 min:4 p25:4 p50:4 p75:4 max:4 sum:2",
         lambda t: stacked(
             {
-                "lineitem": s.descriptive_stats(t["lineitem"], list(LINEITEM)),
-                "events": s.descriptive_stats(t["events"], ["value"]),
-                "gaps": s.descriptive_stats(t.view(GAPS, "lineitem"), ["constant", "gross"]),
+                "lineitem": lambda: s.descriptive_stats(t["lineitem"], list(LINEITEM)),
+                "events": lambda: s.descriptive_stats(t["events"], ["value"]),
+                "gaps": lambda: s.descriptive_stats(
+                    t.view(GAPS, "lineitem"), ["constant", "gross"]
+                ),
             }
         ),
         f"""SELECT 'lineitem' AS table_name, *
@@ -145,8 +147,8 @@ QUERIES = [
         "iqr_outliers", "table_name:s column:s outlier_count:i lower_bound:4 upper_bound:4",
         lambda t: stacked(
             {
-                "sales": s.iqr_outliers(sales(t), list(SALES_MEASURES)),
-                "events": s.iqr_outliers(t["events"], ["value"]),
+                "sales": lambda: s.iqr_outliers(sales(t), list(SALES_MEASURES)),
+                "events": lambda: s.iqr_outliers(t["events"], ["value"]),
             }
         ),
         f"""SELECT 'sales' AS table_name, * FROM ({SALES_SQL['outlier_detection']}) UNION ALL

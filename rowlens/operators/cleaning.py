@@ -1,7 +1,7 @@
 """Cleaning: duplicates, number-like text, missing values.
 
 Which text columns become numbers depends on the data, so one aggregate over all text columns
-decides; the cleaned table itself is a plain projection of the de-duplicated table.
+decides; the cleaned table itself is a plain projection of the de-duplicated, converted table.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowlens.functions.numbers import formatted_text_to_number, is_formatted_number, to_number
 from rowlens.operators.counts import present
 from rowlens.operators.quality import (
+    BROADCAST_HASHES,
     COLUMNS_PER_AGGREGATE,
     Repeated,
     repeated_hashes,
@@ -178,16 +179,18 @@ def clean_with_report(
     if original == 0:
         return Cleaned(df, small_table(spark, [], REPORT_SCHEMA), 0, 0, 0)
 
-    rows = original
     repeated = repeated or repeated_hashes(df)
-    if repeated.count:
-        # Several passes follow; a written copy lets each read only the columns it needs.
-        df = stage_table(without_duplicates(df, repeated), "deduplicated")
-        rows = df.count()
-
+    df = without_duplicates(df, repeated)
+    if repeated.count > BROADCAST_HASHES:
+        # Finding the copies again for the second pass would shuffle the whole table again.
+        df = stage_table(df, "deduplicated")
     facts = text_number_facts(df, text_names(df))
     conversions = text_conversions(facts)
-    numbers = _converted(df, conversions)
+    numbers, rows = _converted(df, conversions), original
+    if repeated.count or conversions:
+        # Many passes follow; a written copy lets each read only the columns it needs, converted.
+        numbers = stage_table(numbers, "converted")
+        rows = numbers.count()
     missing = numbers.agg(
         *[F.count_if(column(n).isNull()).alias(f"c{i}") for i, n in enumerate(numbers.columns)]
     ).first()

@@ -10,23 +10,44 @@ from rowlens.session import column
 
 # Name parts that mark a possible date column.
 DATE_HINTS = ("date", "time", "day", "month", "year", "dt", "timestamp", "period", "quarter")
-# Written forms besides ISO dates and times; ambiguous ones are month first.
-DATE_FORMATS = (
-    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy",
-    "yyyy/M/d H:mm:ss", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm",
+# Written forms besides ISO dates and times, and how to read them. Where day and
+# month could be either, the month comes first.
+_MONTH, _DAY, _YEAR = r"(0?[1-9]|1[0-2])", r"\d{1,2}", r"\d{4}"
+_CLOCK = r"\d{1,2}:\d{2}"
+DATE_FORMS = (
+    (f"{_YEAR}/{_DAY}/{_DAY}", "yyyy/M/d"),
+    (f"{_MONTH}/{_DAY}/{_YEAR}", "M/d/yyyy"),
+    (f"{_DAY}/{_MONTH}/{_YEAR}", "d/M/yyyy"),
+    (f"{_MONTH}-{_DAY}-{_YEAR}", "M-d-yyyy"),
+    (f"{_DAY}-{_MONTH}-{_YEAR}", "d-M-yyyy"),
+    (rf"{_DAY} [A-Z][a-z]{{2}} {_YEAR}", "d MMM yyyy"),
+    (rf"{_DAY} [A-Z][a-z]{{3,}} {_YEAR}", "d MMMM yyyy"),
+    (rf"[A-Z][a-z]{{2}} {_DAY}, {_YEAR}", "MMM d, yyyy"),
+    (rf"[A-Z][a-z]{{3,}} {_DAY}, {_YEAR}", "MMMM d, yyyy"),
+    (rf"{_YEAR}/{_DAY}/{_DAY} {_CLOCK}:\d{{2}}", "yyyy/M/d H:mm:ss"),
+    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}:\d{{2}}", "M/d/yyyy H:mm:ss"),
+    (rf"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}:\d{{2}}", "d/M/yyyy H:mm:ss"),
+    (f"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}", "M/d/yyyy H:mm"),
+    (f"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}", "d/M/yyyy H:mm"),
 )
+QUARTER = rf"^({_YEAR})-?Q([1-4])$"
 PARSED_SHARE = 0.8
 
 
 def parse_date(text: Column) -> Column:
-    """Text to a time without zone, null if no known form fits."""
+    """Text to a time without zone, null if no known form fits.
+
+    A pattern picks the one format to try, since a format that does not fit is slow to find out.
+    """
     trimmed = F.trim(text)
-    attempts = [trimmed.try_cast("timestamp_ntz")]
-    attempts += [
-        F.try_to_timestamp(trimmed, F.lit(form)).cast("timestamp_ntz") for form in DATE_FORMATS
-    ]
-    return F.coalesce(*attempts)
+    written = F.lit(None).cast("timestamp_ntz")
+    for pattern, form in reversed(DATE_FORMS):
+        parsed = F.try_to_timestamp(trimmed, F.lit(form)).cast("timestamp_ntz")
+        written = F.when(trimmed.rlike(f"^{pattern}$"), parsed).otherwise(written)
+    year, quarter = (F.regexp_extract(trimmed, QUARTER, i).cast("int") for i in (1, 2))
+    start = F.make_date(year, quarter * 3 - 2, F.lit(1)).cast("timestamp_ntz")
+    written = F.when(trimmed.rlike(QUARTER), start).otherwise(written)
+    return F.coalesce(trimmed.try_cast("timestamp_ntz"), F.when(trimmed.rlike("[0-9]{4}"), written))
 
 
 def date_candidates(df: DataFrame) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.functions.numbers import (
-    BOOLEAN_TEXT,
+    BOOLEAN_TEXTS,
     INTEGER_TEXT,
     null_token_to_null,
     to_number,
@@ -52,7 +52,7 @@ def _text_facts(df: DataFrame) -> dict[str, Row]:
                         F.when(column(n).rlike(INTEGER_TEXT), F.trim(column(n)).try_cast("bigint"))
                     ).alias("bigint"),
                     F.count(to_number(column(n))).alias("double"),
-                    F.count_if(column(n).rlike(BOOLEAN_TEXT)).alias("boolean"),
+                    F.count_if(column(n).isin(*BOOLEAN_TEXTS)).alias("boolean"),
                     F.count_if(column(n).contains(REPLACEMENT)).alias("undecoded"),
                 ).alias(f"c{i}")
                 for i, n in enumerate(chunk)

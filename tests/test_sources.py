@@ -67,7 +67,8 @@ def test_date_forms(spark):
         "2024-01-05T10:30:00": datetime(2024, 1, 5, 10, 30), "2024/01/05": datetime(2024, 1, 5),
         "01/05/2024": datetime(2024, 1, 5), "25/01/2024": datetime(2024, 1, 25),
         "25-01-2024": datetime(2024, 1, 25), "5 Jan 2024": datetime(2024, 1, 5), "2024-01": datetime(2024, 1, 1),
-        "soon": None, "5": None,
+        "January 5, 2024": datetime(2024, 1, 5), "1/25/2024 9:05": datetime(2024, 1, 25, 9, 5),
+        "2024Q3": datetime(2024, 7, 1), "31/02/2024": None, "soon": None, "5": None, "1234567": None,
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r[0]: r[1] for r in df.select("t", parse_date(df.t)).collect()} == texts
