@@ -261,7 +261,7 @@ def histogram(df: DataFrame, measure: str, bins: int = HISTOGRAM_BINS) -> DataFr
     width = (high - low) / bins
     value = numeric_value(measure)
     counted = (
-        df.where(value.isNotNull())
+        df.where(column(measure).isNotNull() & value.isNotNull())
         .groupBy(_bin(value, low, high, bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )

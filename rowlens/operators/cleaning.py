@@ -151,6 +151,8 @@ def drop_null_rows_on(df: DataFrame, names: list[str]) -> DataFrame:
 def missing_dates(df: DataFrame) -> DataFrame:
     """Date columns that keep their nulls, with the number of them."""
     names = datetime_names(df)
+    if not names:
+        return small_table(df.sparkSession, [], "column string, n_missing bigint")
     counts = df.agg(
         *[F.count_if(column(n).isNull()).alias(f"c{i}") for i, n in enumerate(names)]
     )

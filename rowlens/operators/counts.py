@@ -32,11 +32,19 @@ def present(df: DataFrame, name: str) -> Column:
 
 
 def unpivoted(df: DataFrame, names: list[str], kind: str) -> DataFrame:
-    """Rows (column, value) with values of one type."""
+    """Rows (place, value) with values of one type; ``place`` is the column's place in ``names``.
+
+    A number instead of the name keeps the rows that are shuffled small.
+    """
     pairs = [
-        F.struct(F.lit(n).alias("column"), present(df, n).cast(kind).alias("value")) for n in names
+        F.struct(F.lit(i).alias("place"), present(df, n).cast(kind).alias("value"))
+        for i, n in enumerate(names)
     ]
-    return df.select(F.inline(F.array(*pairs)))
+    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+
+
+def _name_of(names: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), F.col("place")).alias("column")
 
 
 def value_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
@@ -45,12 +53,8 @@ def value_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
     Counts are combined before the shuffle and keyed by column and value, so a value that fills a
     third of the table costs one row per task.
     """
-    return (
-        unpivoted(df, names, "string")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    counted = unpivoted(df, names, "string").groupBy("place", "value").agg(F.count("*").alias("n"))
+    return counted.select(_name_of(names), "value", "n")
 
 
 def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
@@ -76,9 +80,9 @@ def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> Da
     for kind, members in by_kind.items():
         part = (
             unpivoted(df, members, kind)
-            .where(F.col("value").isNotNull())
-            .groupBy("column")
+            .groupBy("place")
             .agg(F.countDistinct("value").alias("distinct_count"))
+            .select(_name_of(members), "distinct_count")
         )
         counted = part if counted is None else counted.unionByName(part)
     names_frame = small_table(df.sparkSession, [(n,) for n in names], "column string")

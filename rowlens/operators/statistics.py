@@ -19,7 +19,7 @@ from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import Roles
 from rowlens.session import column, small_table
 
-PAIRS_PER_AGGREGATE = 10
+PAIRS_PER_AGGREGATE = 9
 TREND_MEASURES = 3
 COUNTED_CATEGORIES = 5
 TOP_VALUES = 10
@@ -65,6 +65,8 @@ def descriptive_stats(
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(left_pos, right_pos, left_column, right_column, r) for each unordered pair, one aggregate
     over the table per batch of pairs."""
+    if len(names) < 2:
+        raise ValueError("correlations need two columns")
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     parts = None
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
@@ -129,13 +131,27 @@ def trend_change(
 ) -> DataFrame:
     """First and last value by date and the change in percent, for the first three measures.
 
-    Minimum and maximum by (date, tie-break) need no sort; rows with a missing date or value are
-    ignored.
+    A plain minimum and maximum finds the first and last date at which each measure has a value;
+    only the rows of those dates are then put in order by the tie-break columns, and the filter on
+    the dates reaches the scan. Rows with a missing date or value are ignored.
     """
+    names = names[:TREND_MEASURES]
+    present_at = [F.when(numeric_value(n).isNotNull(), column(date)) for n in names]
+    ends = df.agg(
+        *[
+            end(c).cast("string").alias(f"{end.__name__}{i}")
+            for i, c in enumerate(present_at)
+            for end in (F.min, F.max)
+        ]
+    ).first()
+    dtype = df.schema[date].dataType
+    days = [F.lit(day).cast(dtype) for day in sorted({d for d in ends if d is not None})]
+    rows = df.where(column(date).isin(*days))
+
     def fields(name: str) -> list[Column]:
         value = numeric_value(name)
         order = F.when(
-            value.isNotNull() & column(date).isNotNull(),
+            value.isNotNull(),
             F.struct(column(date), *[column(t) for t in tie_break if t != name], value),
         )
         first, last = F.min_by(value, order), F.max_by(value, order)
@@ -148,9 +164,7 @@ def trend_change(
             .alias("percent_change"),
         ]
 
-    return per_column(df, names[:TREND_MEASURES], fields, TREND_MEASURES).where(
-        "first_value IS NOT NULL"
-    )
+    return per_column(rows, names, fields, TREND_MEASURES).where("first_value IS NOT NULL")
 
 
 def outlier_fences(
