@@ -11,7 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.functions.numbers import formatted_text_to_number, is_formatted_number, to_number
+from rowlens.functions.numbers import (
+    formatted_text_to_number,
+    is_formatted_number,
+    is_number,
+    strip_number_decoration,
+    to_number,
+)
 from rowlens.operators.counts import present
 from rowlens.operators.quality import (
     BROADCAST_HASHES,
@@ -71,8 +77,12 @@ def text_number_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
                     F.count("*").alias("n_rows"),
                     F.count(column(n)).alias("n_values"),
                     F.count_if(is_formatted_number(column(n))).alias("n_formatted"),
-                    F.count(formatted_text_to_number(column(n))).alias("n_from_formatted"),
-                    F.count(to_number(column(n))).alias("n_plain"),
+                    # What looks formatted always converts; only the rest needs the second look.
+                    F.count_if(
+                        is_formatted_number(column(n))
+                        | is_number(strip_number_decoration(column(n)))
+                    ).alias("n_from_formatted"),
+                    F.count_if(is_number(column(n))).alias("n_plain"),
                 ).alias(f"c{i}")
                 for i, n in enumerate(chunk)
             ]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from rowlens.functions.numbers import (
     BOOLEAN_TEXTS,
     INTEGER_TEXT,
+    is_number,
     null_token_to_null,
-    to_number,
 )
 from rowlens.operators.cleaning import trim_headers
 from rowlens.operators.roles import text_names
@@ -51,7 +51,7 @@ def _text_facts(df: DataFrame) -> dict[str, Row]:
                     F.count(
                         F.when(column(n).rlike(INTEGER_TEXT), F.trim(column(n)).try_cast("bigint"))
                     ).alias("bigint"),
-                    F.count(to_number(column(n))).alias("double"),
+                    F.count_if(is_number(column(n))).alias("double"),
                     F.count_if(column(n).isin(*BOOLEAN_TEXTS)).alias("boolean"),
                     F.count_if(column(n).contains(REPLACEMENT)).alias("undecoded"),
                 ).alias(f"c{i}")
