@@ -144,7 +144,7 @@ QUERIES = [
             UNION ALL SELECT 'orders', * FROM ({_ORDER_RESULTS['trend_analysis']})""",
     ),
     Query(
-        "iqr_outliers", "table_name:s column:s outlier_count:i lower_bound:4 upper_bound:4",
+        "iqr_outliers", "table_name:s column:s outlier_count:i lower_bound:6 upper_bound:6",
         lambda t: stacked(
             {
                 "sales": lambda: s.iqr_outliers(sales(t), list(SALES_MEASURES)),

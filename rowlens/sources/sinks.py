@@ -21,11 +21,18 @@ def write_cleaned(df: DataFrame, path: str, form: str = "csv") -> str:
 
 
 def write_results(results: dict[str, DataFrame], folder: str, run_id: str) -> dict[str, str]:
-    """One Parquet table per kind of result, partitioned by run, later runs appended."""
+    """One Parquet table per kind of result, partitioned by run.
+
+    Other runs stay; writing the same run again replaces what it wrote, so a repeated job is safe.
+    """
     paths = {}
     for name, frame in results.items():
         paths[name] = f"{folder}/{name}"
-        frame.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(
-            paths[name]
+        (
+            frame.withColumn("run_id", F.lit(run_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run_id")
+            .parquet(paths[name])
         )
     return paths

@@ -14,7 +14,7 @@ from rowlens.functions.numbers import (
 )
 from rowlens.operators.cleaning import trim_headers
 from rowlens.operators.roles import text_names
-from rowlens.session import column
+from rowlens.session import column, stage_table
 from rowlens.sources.dates import parse_date_columns
 
 COLUMNS_PER_AGGREGATE = 20
@@ -98,12 +98,15 @@ def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -
     )
 
 
-def load_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def load_csv(
+    spark: SparkSession, path: str, multiline: bool = False, stage: bool = False
+) -> DataFrame:
     """A CSV file, or a folder of them, as a typed table.
 
     All columns are read as text, then missing-value spellings, types, header blanks and date
     columns are settled. Bytes that are not UTF-8 make the file read as Latin-1. ``multiline``
-    allows line breaks inside quotes, at the price of one task per file.
+    allows line breaks inside quotes, at the price of one task per file. ``stage`` writes the typed
+    table once as Parquet to the shared folder, which pays off before a run with many passes.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise LoadError(f"Unsupported file type: {path}. Only .csv is supported.")
@@ -121,7 +124,8 @@ def load_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     if not next(iter(facts.values()))["n_rows"]:
         raise LoadError(NO_DATA)
     typed = _typed(text, {n: _type_from(f) for n, f in facts.items()})
-    return parse_date_columns(trim_headers(typed))
+    table = parse_date_columns(trim_headers(typed))
+    return stage_table(table, "loaded") if stage else table
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:

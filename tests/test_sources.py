@@ -32,7 +32,7 @@ def test_types_and_missing_values(spark, tmp_path):
 
 
 def test_latin1(spark, tmp_path):
-    df = load_csv(spark, put(tmp_path, "name,näme\ncafé,ü\n", encoding="latin1"))
+    df = load_csv(spark, put(tmp_path, "name,näme\ncafé,ü\n", encoding="latin1"), stage=True)
     assert df.columns == ["name", "näme"] and rows(df) == [("café", "ü")]
 
 
@@ -89,7 +89,7 @@ def test_sinks(spark, tmp_path):
     assert rows(load_csv(spark, write_cleaned(df, str(tmp_path / "out.csv")))) == [(1, 'a "q", b'), (2, "c")]
     with pytest.raises(ValueError):
         write_cleaned(df, str(tmp_path / "x"), "xlsx")
-    for run in ("r1", "r2"):
+    for run in ("r1", "r2", "r1"):
         paths = write_results({"kinds": df}, str(tmp_path), run)
     assert rows(spark.read.parquet(paths["kinds"]).groupBy("run_id").count()) == [("r1", 2), ("r2", 2)]
 
