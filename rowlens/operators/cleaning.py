@@ -198,15 +198,15 @@ def clean_with_report(
         df = stage_table(df, "deduplicated")
     facts = text_number_facts(df, text_names(df))
     conversions = text_conversions(facts)
-    numbers, rows = _converted(df, conversions), original
+    numbers = _converted(df, conversions)
     if repeated.count or conversions:
         # Many passes follow; a written copy lets each read only the columns it needs, converted.
         numbers = stage_table(numbers, "converted")
-        rows = numbers.count()
-    missing = numbers.agg(
-        *[F.count_if(column(n).isNull()).alias(f"c{i}") for i, n in enumerate(numbers.columns)]
+    rows, *gaps = numbers.agg(
+        F.count("*").alias("n"),
+        *[F.count_if(column(n).isNull()).alias(f"c{i}") for i, n in enumerate(numbers.columns)],
     ).first()
-    missing = dict(zip(numbers.columns, missing))
+    missing = dict(zip(numbers.columns, gaps))
 
     to_fill = [n for n in numeric_names(numbers) if missing[n]]
     medians = {
