@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import simhash
+from rowlens.llm import simhash, substrings
 from rowlens.llm.tables import read_table
 
 
@@ -14,8 +14,38 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def _substrings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_substring_dedup": _substrings,
     "op10_simhash_bk_trees": _simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRINGS_SQL = f"""
+WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS start FROM texts),
+windows AS (SELECT doc_id, start, array_to_string(words[start:start + 12], ' ') AS gram FROM places),
+firsts AS (SELECT gram, min(doc_id) AS first_id FROM windows GROUP BY gram),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS place
+    FROM windows JOIN firsts USING (gram) WHERE first_id < doc_id
+),
+singles AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS line, count(*) AS n
+    FROM singles ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(line, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_substring_dedup": _SUBSTRINGS_SQL,
+}
