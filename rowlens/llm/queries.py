@@ -5,9 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowlens.llm import simhash, substrings
-from rowlens.llm.tables import read_table
+from rowlens.llm import language_id, mixing, simhash, substrings, url_filter
+from rowlens.llm.tables import held_out, read_table
+
+
+def _language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    profiles = language_id.learn_profiles(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    texts = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return language_id.identify(texts, profiles).drop("text")
+
+
+def _mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing.plan_mix(read_table(spark, folder, "documents"))
+    return plan.withColumnRenamed("own_id", "doc_id").drop("parts")
+
+
+#: Host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def _url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, rules).drop("url")
 
 
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +46,10 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": _language_id,
+    "op2_source_mixing": _mixing,
     "op7_substring_dedup": _substrings,
+    "op9_url_filter": _url_filter,
     "op10_simhash_bk_trees": _simhash,
 }
 
@@ -46,6 +75,28 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 
+_URL_SQL = """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+parts AS (
+    SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS part
+    FROM pages
+),
+places AS (
+    SELECT page_id, part.path AS path, row_number() OVER () AS row,
+        translate(part.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+    FROM parts
+),
+fitting AS (
+    SELECT row, rule_host || rule_path AS rule, rule_verdict,
+        row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC) AS place
+    FROM places JOIN rules ON starts_with(path, rule_path)
+        AND (host = rule_host OR ends_with(host, '.' || rule_host))
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM places LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (row)
+""".format(rules=", ".join(str(rule) for rule in URL_RULES))
+
 ORACLES: dict[str, str] = {
+    "op9_url_filter": _URL_SQL,
     "op7_substring_dedup": _SUBSTRINGS_SQL,
 }
