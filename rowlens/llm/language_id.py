@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import in_batches
+from rowlens.llm.tables import extended, in_batches
 
 #: n-grams in a profile, of a language and of a text.
 PROFILE = 400
@@ -176,8 +176,9 @@ def identify(
     """
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = others.index(text)
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema
-    schema = schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(
+        docs.select(*[F.col(f"`{c}`") for c in others]).schema, "lang_pred string, score double"
+    )
     judge = Judge(profiles, size)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import language_id, mixing, simhash, substrings, url_filter
+from rowlens.llm import language_id, mixing, packing, simhash, substrings, token_files, url_filter
 from rowlens.llm.tables import held_out, read_table
+from rowlens.session import scratch_path
 
 
 def _language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +24,16 @@ def _mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.withColumnRenamed("own_id", "doc_id").drop("parts")
 
 
+def _packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"))
+
+
+def _token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    path = token_files.write_token_files(docs, scratch_path(spark, "tokens"))
+    return token_files.read_checksums(spark, path)
+
+
 #: Host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -48,7 +59,9 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _language_id,
     "op2_source_mixing": _mixing,
+    "op6_best_two_fit_packing": _packing,
     "op7_substring_dedup": _substrings,
+    "op8_token_files": _token_files,
     "op9_url_filter": _url_filter,
     "op10_simhash_bk_trees": _simhash,
 }

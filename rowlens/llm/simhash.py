@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.components import connected_components
+from rowlens.llm.tables import extended
 from rowlens.session import stage_table
 
 BITS = 64
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS
             )
 
     plain = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("text"))
-    schema = plain.drop("text").schema.add("fingerprint", "long")
+    schema = extended(plain.drop("text").schema, "fingerprint long")
     return plain.mapInArrow(work, schema)
 
 

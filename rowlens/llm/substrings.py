@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowlens.llm.tables import in_batches, shuffle_partitions
+from rowlens.llm.tables import extended, in_batches, shuffle_partitions
 from rowlens.llm.words import sequence_hashes, text_blocks, word_counts, word_hashes, word_spans
 from rowlens.session import stage_table
 
@@ -84,10 +84,7 @@ def text_paths(offsets: np.ndarray, data: np.ndarray, window: int, anchor: int)
 
 def _paths(texts: DataFrame, window: int, anchor: int, hot: np.ndarray) -> DataFrame:
     """Paths of ``texts`` (key, copy, text); ``hot`` says whether the anchor is in the sorted list."""
-    schema = texts.drop("text").schema
-    for name in ("anchor", "body", "place"):
-        schema = schema.add(name, "long")
-    schema = schema.add("hot", "boolean")
+    schema = extended(texts.drop("text").schema, "anchor long, body long, place long, hot boolean")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +162,7 @@ def _judged_hot(paths: DataFrame) -> DataFrame:
 
 def _windows(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """Hashes (128 bits) of the single windows of the listed paths."""
-    schema = (
-        texts.drop("text").schema.add("start", "long").add("one", "long").add("two", "long")
-        .add("asks", "boolean")
-    )
+    schema = extended(texts.drop("text").schema, "start long, one long, two long, asks boolean")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,9 +320,7 @@ def remove_repeats(
     key, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
     others = [c for c in plain.columns if c != body]
     out = [n for n in names if n != text] + ["n_words", "n_removed", "kept_sha256" if digest else text]
-    schema = plain.select(*others).schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("out", "string")):
-        schema = schema.add(name, kind)
+    schema = extended(plain.select(*others).schema, "n_words long, n_removed long, out string")
 
     numbered = _numbered(plain, key, body)
     runs = _removed_runs(

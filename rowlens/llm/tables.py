@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of the Arrow batches handed back.
 OUT_ROWS = 65_536
@@ -26,10 +27,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def arrow_map(
-    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def extended(schema: StructType, more: str) -> StructType:
+    """The schema with further fields."""
+    return StructType(schema.fields + StructType.fromDDL(more).fields)
 
 
 def in_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
