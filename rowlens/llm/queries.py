@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import language_id, mixing, packing, simhash, substrings, token_files, url_filter
+from rowlens.llm import language_id, mixing, packing, quality, simhash, substrings, token_files, url_filter
 from rowlens.llm.tables import held_out, read_table
 from rowlens.session import scratch_path
 
@@ -24,6 +24,11 @@ def _mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.withColumnRenamed("own_id", "doc_id").drop("parts")
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judge_lines(docs, with_text=False).drop("text", "n_lost")
+
+
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"))
 
@@ -59,6 +64,7 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _language_id,
     "op2_source_mixing": _mixing,
+    "op4_line_quality": _quality,
     "op6_best_two_fit_packing": _packing,
     "op7_substring_dedup": _substrings,
     "op8_token_files": _token_files,
@@ -109,7 +115,56 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM places LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (row)
 """.format(rules=", ".join(str(rule) for rule in URL_RULES))
 
+_QUALITY_SQL = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
+        string_split(coalesce(text, ''), chr(10)) AS lines
+    FROM documents
+),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS start FROM texts),
+windows AS (SELECT doc_id, start, array_to_string(words[start:start + 4], ' ') AS gram FROM places),
+repeated AS (
+    SELECT doc_id, unnest(list(start)) AS start FROM windows GROUP BY doc_id, gram HAVING count(*) > 1
+),
+covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n
+    FROM (SELECT doc_id, unnest(range(start, start + 5)) AS place FROM repeated) GROUP BY doc_id
+),
+single AS (SELECT doc_id, unnest(lines) AS line FROM texts),
+counted AS (
+    SELECT doc_id, line, len(regexp_extract_all(line, '{quality.WORD}')) AS n,
+        length(line) - length(translate(line, '{quality.SYMBOLS}', '')) AS symbols,
+        len(regexp_extract_all(line, '[|»›•·→]')) + len(regexp_extract_all(replace(line, ' > ', ' >  '), ' > '))
+            AS marks
+    FROM single
+),
+by_line AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+        sum(n) FILTER (NOT (
+            (regexp_matches(line, '{quality.SENTENCE_END.replace("'", "''")}') OR n >= {quality.LONG_LINE})
+            AND 100 * symbols <= {quality.MOST_SYMBOLS} * length(line)
+            AND NOT (marks >= {quality.LEAST_MARKS} AND marks * {quality.WORDS_PER_MARK} >= n)
+            AND NOT regexp_matches(line, '{quality.BOILERPLATE}')
+        )) AS lost
+    FROM counted WHERE n > 0 GROUP BY doc_id
+),
+base AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+    FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN by_line USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+        AND 100 * lost <= {quality.MOST_LOST} * n_words AS kept
+FROM base
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_line_quality": _QUALITY_SQL,
     "op9_url_filter": _URL_SQL,
     "op7_substring_dedup": _SUBSTRINGS_SQL,
 }
