@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import language_id, mixing, packing, quality, simhash, substrings, token_files, url_filter
+from rowlens.llm import (
+    language_id,
+    mixing,
+    nearest,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from rowlens.llm.tables import held_out, read_table
 from rowlens.session import scratch_path
 
@@ -24,11 +35,22 @@ def _mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.withColumnRenamed("own_id", "doc_id").drop("parts")
 
 
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return quality.judge_lines(docs, with_text=False).drop("text", "n_lost")
 
 
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    learning = ~held_out() & F.col("doc_id").isNotNull()
+    model = toxicity.learn(docs.where(learning), read_table(spark, folder, "labels").where(learning))
+    return toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"))
 
@@ -64,7 +86,9 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _language_id,
     "op2_source_mixing": _mixing,
+    "op3_one_bit_nearest": _nearest,
     "op4_line_quality": _quality,
+    "op5_pu_toxicity": _toxicity,
     "op6_best_two_fit_packing": _packing,
     "op7_substring_dedup": _substrings,
     "op8_token_files": _token_files,
