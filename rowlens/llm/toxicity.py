@@ -29,10 +29,10 @@ CLASS_BITS = 19
 #: Classes that the model has a weight for.
 FEATURES = 1500
 #: Expected number of toxic and of unlabelled texts in training.
-POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 12_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 8000, 16_000
 #: Tasks over which the samples are spread; each sends its counts to the driver once.
 SAMPLE_TASKS = 8
-EPOCHS, BATCH, STEP, DECAY = 40, 512, 0.02, 1e-4
+EPOCHS, BATCH, STEP, DECAY = 40, 1024, 0.005, 1e-3
 SEED = 11
 
 _LOWER = np.arange(256, dtype=np.uint8)
