@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, at a bounded cost for repeated words.
 
 The byte-level vocabulary used here splits a text before every blank that stands between two other
-characters and around every line break between two other characters, whatever follows. So the words of
-a text are encoded one by one, each distinct word once per process, and their ids joined. Texts with
-any other white space are encoded whole by the library. Both ways give the same ids.
+characters and around every line break between two other characters, whatever follows. So the distinct
+words of a block of texts are encoded, those met before are remembered, and the ids are put together by
+array operations. Texts with any other white space are encoded whole by the library. Both ways give the
+same ids.
 """
 
 from __future__ import annotations
@@ -14,18 +15,32 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words remembered per process; further ones are encoded each time they come.
-REMEMBERED = 400_000
+#: Distinct words remembered per process; further ones are encoded in each block that has them.
+REMEMBERED = 1_500_000
 #: Characters of texts encoded together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
 #: Words given to the library as one text.
 JOINED = 64
 #: Id at the end of a document.
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
-_OTHER_SPACE = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+#: White space other than blank and line feed, as Python and the library see it.
+_OTHER_SPACE = re.compile(
+    "[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+)
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+
+
+def _splits_plainly(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds inside the text."""
+    return not (
+        text[:1] in ("", " ", "\n") or text[-1] in " \n" or any(pair in text for pair in _DOUBLE)
+        or _OTHER_SPACE.search(text)
+    )
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -33,6 +48,31 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+class Remembered:
+    """Distinct words and their ids, as plain arrays."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, "<u4")
+        self.first = np.zeros(1, np.int64)
+
+    def ids_of(self, distinct: pa.Array, learn, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each word its first place there and its number of ids."""
+        place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        ids, first = self.ids, self.first
+        if len(new):
+            words = distinct.take(pa.array(new))
+            more, sizes = learn(words.to_pylist())
+            ids = np.concatenate([ids, more])
+            first = np.concatenate([first, first[-1] + np.cumsum(sizes)])
+            place[new] = len(self.words) + np.arange(len(new))
+            if len(self.words) < most:
+                self.words = pa.concat_arrays([self.words, words])
+                self.ids, self.first = ids, first
+        return ids, first[place], first[place + 1] - first[place]
+
+
 class Encoder:
     """Encodes texts to the bytes of their ids (little-endian, 32 bits each)."""
 
@@ -43,65 +83,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
         self.tokenizer.encode_special_tokens = True
-        #: Ids of words after a blank, and of words that begin a line.
-        self.after_blank: dict[str, bytes] = {}
-        self.at_start: dict[str, bytes] = {}
-        self.line_break = self._ids("\n")
-        self.line_break_id = int(np.frombuffer(self.line_break, "<u4")[0])
+        self.after_blank, self.at_start = Remembered(), Remembered()
+        self.line_break = int(np.frombuffer(self._ids("\n"), "<u4")[0])
 
     def _ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str], blank: str) -> dict[str, bytes]:
-        """Ids of words without white space, each after ``blank``, by one call to the library."""
-        listed = list(words)
+    def _learn(self, words: list[str], blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space, each after ``blank``, and how many each has.
+
+        Many words go to the library as one text, one in a line; no word has the id of a line break.
+        """
         lines = [
-            "\n".join([blank + word for word in listed[k : k + JOINED]])
-            for k in range(0, len(listed), JOINED)
+            "\n".join([blank + word for word in words[k : k + JOINED]])
+            for k in range(0, len(words), JOINED)
         ]
         ids: list[int] = []
         for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
             ids += line.ids
-            ids.append(self.line_break_id)
+            ids.append(self.line_break)
         found = np.array(ids, dtype="<u4")
-        ends = np.flatnonzero(found == self.line_break_id).tolist()
-        begins = [0] + [end + 1 for end in ends]
-        raw = found.tobytes()
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(listed, begins, ends)}
+        breaks = np.flatnonzero(found == self.line_break)
+        return found[found != self.line_break], np.diff(breaks, prepend=-1) - 1
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose white space is single blanks and line feeds between words."""
+        lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        line_at = lines.offsets.to_numpy().astype(np.int64)
+        word_at = words.offsets.to_numpy().astype(np.int64)
+        flat = words.flatten()
+        opening = word_at[:-1]
+        coded = flat.dictionary_encode()
+        ids, first_of, size_of = self.after_blank.ids_of(
+            coded.dictionary, lambda new: self._learn(new, " "), REMEMBERED
+        )
+        number = coded.indices.to_numpy()
+        first, size = first_of[number], size_of[number]
+        heads = flat.take(pa.array(opening)).dictionary_encode()
+        head_ids, head_first, head_size = self.at_start.ids_of(
+            heads.dictionary, lambda new: self._learn(new, ""), REMEMBERED // 4
+        )
+        number = heads.indices.to_numpy()
+        first[opening], size[opening] = len(ids) + head_first[number], head_size[number]
+        pool = np.concatenate([ids, head_ids, np.array([self.line_break], "<u4")])
+        # A line break before the first word of every line but the first of a text.
+        breaks = np.delete(opening, line_at[:-1])
+        first, size = np.insert(first, breaks, len(pool) - 1), np.insert(size, breaks, 1)
+        ends = np.cumsum(size)
+        raw = pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        edges = word_at[line_at]
+        edges = np.concatenate([[0], ends])[edges + np.searchsorted(breaks, edges)].tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
-        split = [None if _OTHER_SPACE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        first, later = set(), set()
-        for lines in split:
-            for words in lines or ():
-                first.add(words[0])
-                later.update(words[1:])
-        start, after = self.at_start, self.after_blank
-        new_start = self._learn({w for w in first if w not in start}, "")
-        new_after = self._learn({w for w in later if w not in after}, " ")
-        if len(start) < REMEMBERED // 4:
-            start.update(new_start)
-            new_start = {}
-        if len(after) < REMEMBERED:
-            after.update(new_after)
-            new_after = {}
-        out = []
-        for text, lines in zip(texts, split):
-            if lines is None or not text:
-                out.append(self._ids(text))
-                continue
-            coded = []
-            for words in lines:
-                head = start.get(words[0])
-                parts = [new_start[words[0]] if head is None else head]
-                if new_after:
-                    parts += [after[w] if w in after else new_after[w] for w in words[1:]]
-                else:
-                    parts += map(after.__getitem__, words[1:])
-                coded.append(b"".join(parts))
-            out.append(self.line_break.join(coded))
+        plain = [k for k, text in enumerate(texts) if _splits_plainly(text)]
+        out: list[bytes] = [b""] * len(texts)
+        if plain:
+            for k, ids in zip(plain, self._encode_plain([texts[k] for k in plain])):
+                out[k] = ids
+        for k in set(range(len(texts))).difference(plain):
+            out[k] = self._ids(texts[k]) if texts[k] else b""
         return out
 
 
