@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.catalog import sql
 from rowlens.catalog.registry import Query, Tables, stacked, union_all
-from rowlens.catalog.views import DAY_GAP, MONTH_GAP
+from rowlens.catalog.views import DAY_GAP, GAPS, MONTH_GAP
 from rowlens.operators import charts as c
 from rowlens.plans.chart_data import charts_long, run_charts
 from rowlens.plans.rules import Chart, auto_charts, chart_kind, chart_table, with_auto_charts
@@ -136,19 +136,19 @@ _AUTO_TABLES = ("orders", "lineitem", "documents", "customer", "events", "labels
 def _auto_sql(table: str, metric: str | None, cats: tuple, date: str | None, numbers: tuple) -> str:
     rows = []
     if date and metric:
-        rows.append(("line", metric, f"Time-series trend for {metric}"))
+        rows.append(("line", metric, f"{metric} by period"))
     if cats and metric:
         rows.append(("pareto_bar", f"{cats[0]},{metric}",
-                     f"Top segment Pareto breakdown of {metric} by {cats[0]}"))
+                     f"Largest totals of {metric} among {cats[0]}"))
     if len(cats) > 1:
         rows.append(("stacked_bar", f"{cats[0]},{cats[1]}",
-                     f"Cross-tabulation distribution between {cats[0]} and {cats[1]}"))
+                     f"{cats[0]} split by {cats[1]}"))
     if metric:
         rows.append(("quantile_hist", metric,
-                     f"Distribution and quantile threshold spread for {metric}"))
+                     f"Values of {metric} with median and 90th percentile"))
     if len(numbers) > 1:
-        rows.append(("correlation_heatmap", ",".join(numbers[:5]),
-                     "Inter-feature correlation analysis"))
+        rows.append(("correlation_heatmap", ",".join(numbers),
+                     "Correlations of " + ", ".join(numbers)))
     return union_all(
         f"""SELECT '{table}' AS table_name, {i} AS position, '{kind}' AS chart_type,
             '{columns}' AS columns, '{reason}' AS reason, TRUE AS auto_generated FROM {table} LIMIT 1"""
@@ -343,7 +343,9 @@ QUERIES = [
     ),
     Query(
         "crosstab_count", "category:s F:i O:i P:i",
-        lambda t: c.crosstab_count(t["orders"], "o_orderpriority", "o_orderstatus"),
+        lambda t: c.crosstab_count(
+            t["orders"], "o_orderpriority", "o_orderstatus", list(_STATUS)
+        ),
         "SELECT o_orderpriority AS category, " + ", ".join(
             f"""count(*) FILTER (o_orderstatus = '{s}') AS "{s}\"""" for s in _STATUS
         ) + " FROM orders GROUP BY 1",
@@ -372,7 +374,13 @@ QUERIES = [
         ),
     ),
     Query(
-        "scatter_points", "x_bin:i y_bin:i n:i x_mean:3 y_mean:3",
+        "scatter_points", "x:4 y:4",
+        lambda t: c.scatter_points(t.view(GAPS, "lineitem"), "l_quantity", "gross"),
+        f"""SELECT l_quantity AS x, gross AS y FROM ({GAPS})
+            WHERE l_quantity IS NOT NULL AND gross IS NOT NULL""",
+    ),
+    Query(
+        "scatter_density", "x_bin:i y_bin:i n:i x_mean:3 y_mean:3",
         lambda t: c.scatter_density(t["lineitem"], "l_quantity", "l_extendedprice"),
         scatter("lineitem", "l_quantity", "l_extendedprice"),
     ),

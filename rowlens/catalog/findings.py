@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from rowlens.catalog import sql
 from rowlens.catalog.quality import DIRTY_REPORT, checklist
 from rowlens.catalog.registry import Query, Tables, stacked, union_all
-from rowlens.catalog.statistics import SALES_SQL, sales, sales_results
+from rowlens.catalog.statistics import ORDER_RESULTS, SALES_SQL, sales, sales_results
 from rowlens.catalog.views import DIRTY, GAPS, SALES, SALES_COLUMNS
 from rowlens.functions.numbers import compact_number, display_number, title_label
 from rowlens.operators import findings as fd
 from rowlens.operators.profile import dataset_overview
 from rowlens.operators.quality import validation_report
 from rowlens.operators.review import template_insights
-from rowlens.operators.statistics import correlation_matrix, iqr_outliers
-from rowlens.plans.analyze import report_tables
+from rowlens.operators.statistics import correlation_matrix, iqr_outliers, stats_long
+from rowlens.plans.analyze import analyze, report_tables
 from rowlens.session import pin, run_together
 
 SALES_REPORT = sql.validation(SALES, SALES_COLUMNS)
@@ -80,6 +80,30 @@ def _report(t: Tables) -> DataFrame:
     )
 
 
+_ORDER_COLUMNS = (
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+)
+
+
+def _whole_run(t: Tables) -> DataFrame:
+    """The figures of a whole run over orders: statistics, health and rows after cleaning."""
+    run = analyze(t["orders"])
+    figures = [
+        run.validation.select(
+            F.lit("validation").alias("analysis"), F.lit("orders").alias("column"),
+            F.lit("health_score").alias("metric"), F.col("health_score").alias("value"),
+        ),
+        run.cleaned.table.agg(F.count("*").cast("double").alias("value")).select(
+            F.lit("cleaning").alias("analysis"), F.lit("orders").alias("column"),
+            F.lit("rows").alias("metric"), "value",
+        ),
+    ]
+    found = stats_long(run.results)
+    for part in figures:
+        found = found.unionByName(part)
+    return found
+
+
 # --- checks ---------------------------------------------------------------------------------
 
 
@@ -162,26 +186,27 @@ def findings(source: str, *_, insight: str | None = None) -> str:
     score = sql.score_text("health_score")
     rules = (
         (0, "trend", "best_change IS NOT NULL",
-         f"""{sql.title('best_trend')} || CASE WHEN best_change >= 0 THEN ' increased by '
-             ELSE ' declined by ' END || {percent('best_change')} || ' over the measured period.'"""),
+         f"""{sql.title('best_trend')} || CASE WHEN best_change >= 0 THEN ' went up by '
+             ELSE ' went down by ' END || {percent('best_change')}
+             || ' between the first and the last date.'"""),
         (1, "correlation", "r IS NOT NULL",
-         f"""{sql.title('left_column')} || ' and ' || {sql.title('right_column')}
-             || ' show a correlation of ' || {sql.fixed('r', 2)} || '.'"""),
+         f"""'Closest pair: ' || {sql.title('left_column')} || ' and ' || {sql.title('right_column')}
+             || ', r = ' || {sql.fixed('r', 2)}"""),
         (2, "outliers", "total_outliers > 0",
-         """'Detected ' || CAST(total_outliers AS BIGINT)
-            || ' outlier record(s) across the numeric measures.'"""),
+         """CAST(total_outliers AS BIGINT)
+            || ' value(s) lie far from the rest of their column.'"""),
         (3, "quality", "TRUE",
-         f"""CASE WHEN health_score >= 95 THEN 'Source data quality is strong at ' || {score}
-             || ' / 100, so the analysis has a reliable foundation.'
-             WHEN health_score >= 85 THEN 'Source data quality is acceptable at ' || {score}
-             || ' / 100, but targeted cleanup opportunities remain.'
-             ELSE 'Source data quality is limited at ' || {score}
-             || ' / 100 and should be reviewed before major decisions.' END"""),
+         f"""CASE WHEN health_score >= 95 THEN 'Quality score ' || {score}
+             || ' of 100: the results rest on solid data.'
+             WHEN health_score >= 85 THEN 'Quality score ' || {score}
+             || ' of 100: usable, some cleaning would help.'
+             ELSE 'Quality score ' || {score}
+             || ' of 100: look at the data before relying on results.' END"""),
     )
     extra = ()
     if insight:
         extra = (f"""SELECT 4 AS priority, 0 AS place, 'insight' AS code,
-            'Top generated insight: ' || text AS text FROM ({insight}) WHERE position = 1""",)
+            'First insight: ' || text AS text FROM ({insight}) WHERE position = 1""",)
     return fired(source, rules, extra, ("stable", STABLE), 4)
 
 
@@ -189,27 +214,26 @@ def advice(source: str, has_results: bool) -> str:
     spaced = """replace("column", '_', ' ')"""
     rules = (
         (3, "quality", "health_score < 90",
-         """'Data hygiene opportunities detected. Establish automated collection validation to resolve missing values.'"""),
+         """'Check new data as it comes in: the quality score is below 90.'"""),
     )
     outliers = SALES_SQL["outlier_detection"] if has_results else sql.outliers(DIRTY, ["price"])
     extra = [
-        f"""SELECT 1 AS priority, position AS place, 'outliers' AS code, 'Detected '
-            || outlier_count || ' outlier record(s) in ' || {spaced}
-            || '. Review records for data entry anomalies.' AS text
+        f"""SELECT 1 AS priority, position AS place, 'outliers' AS code, 'Look at '
+            || outlier_count || ' unusual value(s) of ' || {spaced}
+            || ' before using them.' AS text
             FROM ({outliers}) WHERE outlier_count > 0"""
     ]
     if has_results:
         extra += [
-            f"""SELECT 0 AS priority, position AS place, 'trend' AS code, {sql.title('"column"')}
-                || CASE WHEN percent_change < 0 THEN ' declined by ' || {percent('percent_change')}
-                || ' over the evaluated timeframe. Investigate drivers.'
-                ELSE ' grew by ' || {percent('percent_change')}
-                || '. Capitalize on key drivers behind this growth.' END AS text
+            f"""SELECT 0 AS priority, position AS place, 'trend' AS code,
+                CASE WHEN percent_change < 0 THEN 'Find out why ' || {sql.title('"column"')}
+                || ' fell by ' || {percent('percent_change')} || '.'
+                ELSE {sql.title('"column"')} || ' rose by ' || {percent('percent_change')}
+                || ': see what it depends on.' END AS text
                 FROM ({SALES_SQL['trend_analysis']}) WHERE percent_change < 0 OR percent_change > 20""",
             f"""SELECT 2 AS priority, left_pos * 100000 + right_pos AS place, 'correlation' AS code,
-                'Strong correlation (' || {sql.fixed('r', 2)} || ') observed between '
-                || replace(left_column, '_', ' ') || ' and ' || replace(right_column, '_', ' ')
-                || '.' AS text FROM ({SALES_SQL['correlation_analysis']})
+                replace(left_column, '_', ' ') || ' and ' || replace(right_column, '_', ' ')
+                || ' tell much the same (r = ' || {sql.fixed('r', 2)} || ').' AS text FROM ({SALES_SQL['correlation_analysis']})
                 WHERE left_pos < right_pos AND abs(r) > 0.7""",
         ]
     return fired(source, rules, tuple(extra), ("stay", STAY), 5)
@@ -220,32 +244,32 @@ def alarms(source: str, *_) -> str:
         source,
         (
             (0, "POSITIVE", "health_score = 100 AND missing_cells = 0",
-             "'Dataset quality is excellent — no missing values detected.'"),
+             "'Full quality score, every cell filled'"),
             (1, "CRITICAL", "health_score < 70",
-             f"""'Data health score is low (' || {sql.score_text('health_score')}
-                 || '/100) — investigate data collection process.'"""),
+             f"""'Quality score ' || {sql.score_text('health_score')}
+                 || ' of 100: look at how the data is collected'"""),
             (2, "WARNING", "total_outliers > 0",
-             """CAST(total_outliers AS BIGINT) || ' outlier record(s) detected across numeric fields.'"""),
+             """CAST(total_outliers AS BIGINT) || ' unusual value(s) in the measures'"""),
         ),
-        (), ("INFO", "No major alerts or critical system errors detected."), 4,
+        (), ("INFO", "No alert"), 4,
     )
 
 
 def snapshot(source: str, has_results: bool, summary: str | None = None) -> str:
     rows = [
         ("Dataset size", "row_count || ' rows x ' || column_count || ' columns'",
-         "'Defines the scope and confidence of the analysis.'"),
+         "'How much the results rest on'"),
         ("Data health", f"{sql.score_text('health_score')} || ' / 100'",
-         "'Confirms the quality of the source data before interpretation.'"),
+         "'How far the source can be trusted'"),
     ]
     if has_results:
         rows.append(
             ("Primary trend",
              f"{sql.title('first_trend')} || ' ' || {sql.fixed('first_change', 1, False)} || '%'",
-             "'Shows the main direction of movement across the observed period.'")
+             "'Where the first measure is heading'")
         )
     if summary:
-        rows.append(("Plan summary", "'Execution plan confirmed'", f"'{summary}'"))
+        rows.append(("Plan summary", "'As planned'", f"'{summary}'"))
     places = {"Dataset size": 1, "Data health": 2, "Primary trend": 3, "Plan summary": 4}
     return union_all(
         f"""SELECT {places[d]} AS position, '{d}' AS dimension, {v} AS value, {w} AS why
@@ -444,11 +468,24 @@ QUERIES = [
     Query(
         "report_tables", "section_no:i section:s position:i label:s value:s", _report, _REPORT_SQL
     ),
+    Query(
+        "analyze", "analysis:s column:s metric:s value:2", _whole_run,
+        union_all(
+            [sql.melted(n, q) for n, q in ORDER_RESULTS.items()]
+            + [
+                f"""SELECT 'validation' AS analysis, 'orders' AS "column", 'health_score' AS metric,
+                    health_score AS value
+                    FROM ({sql.validation('SELECT * FROM orders', _ORDER_COLUMNS)})""",
+                """SELECT 'cleaning' AS analysis, 'orders' AS "column", 'rows' AS metric,
+                    CAST((SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS DOUBLE) AS value""",
+            ]
+        ),
+    ),
     Query(
         "confidence_band", "left_column:s right_column:s r:6 confidence:s",
         lambda t: fd.confidence_bands(_gap_matrix(t)),
         f"""SELECT left_column, right_column, r, CASE WHEN abs(r) > 0.7 THEN 'High'
             WHEN abs(r) >= 0.4 THEN 'Medium' ELSE 'Low' END AS confidence
-            FROM ({_GAP_PAIRS}) WHERE left_pos < right_pos""",
+            FROM ({_GAP_PAIRS}) WHERE left_pos < right_pos AND r IS NOT NULL""",
     ),
 ]

@@ -85,7 +85,9 @@ def categorical_sql(table: str, c: str) -> str:
         round(count(*) / sum(n), 4) > 0.4 AND count(*) > 20 AS is_high_cardinality,
         any_value(value) FILTER (place = 1) AS most_frequent,
         string_agg(value || ':' || n, '|' ORDER BY place) FILTER (place <= 5) AS top_values,
-        (SELECT count_if("{c}" IS NULL) FROM {table}) AS missing_count FROM ranked"""
+        (SELECT count_if("{c}" IS NULL) FROM {table}) AS missing_count,
+        (SELECT round(count_if("{c}" IS NULL) / count(*) * 100, 2) FROM {table}) AS missing_percent
+        FROM ranked"""
 
 
 def _categorical(df: DataFrame) -> DataFrame:
@@ -123,10 +125,13 @@ _ORDER_FIGURES = union_all(
             (
                 "categorical",
                 union_all(categorical_sql("orders", c) for c in CATEGORIES["orders"]),
-                ("unique_values", "is_high_cardinality", "most_frequent", "missing_count"),
+                ("unique_values", "cardinality_ratio", "is_high_cardinality", "most_frequent",
+                 "missing_count", "missing_percent"),
                 ["format('{:.3f}', CAST(unique_values AS DOUBLE))",
+                 "format('{:.3f}', CAST(cardinality_ratio AS DOUBLE))",
                  "CAST(is_high_cardinality AS VARCHAR)", "most_frequent",
-                 "format('{:.3f}', CAST(missing_count AS DOUBLE))"],
+                 "format('{:.3f}', CAST(missing_count AS DOUBLE))",
+                 "format('{:.3f}', CAST(missing_percent AS DOUBLE))"],
             ),
             (
                 "datetime", _DATE_SQL.format(t="orders", c="o_orderdate"),
@@ -143,9 +148,7 @@ def _order_figures(t: Tables) -> DataFrame:
     long = p.profile_long(p.dataset_profile(t["orders"]))
     number = F.col("value").try_cast("double")
     shown = F.when(number.isNotNull(), F.regexp_replace(F.format_number(number, 3), ",", ""))
-    return long.where(
-        "metric <> 'cardinality_ratio' AND NOT (kind = 'categorical' AND metric = 'missing_percent')"
-    ).withColumn("value", F.coalesce(shown, "value"))
+    return long.withColumn("value", F.coalesce(shown, "value"))
 
 
 _FREQUENT = {"part": ("p_name", "p_brand", "p_type"), "documents": ("lang", "source"),

@@ -82,11 +82,11 @@ def _guarded(t: Tables, name: str) -> DataFrame:
     return plan_table(t.spark, guard_plan(_PROPOSAL, table_facts(t[name])))
 
 
-def _guarded_rows(table: str, kind: str, rows) -> str:
+def _guarded_rows(table: str, kind: str, rows, wanted: int = 99) -> str:
     return union_all(
         f"""SELECT '{table}' AS table_name, '{kind}' AS kind, {i} AS position, '{n}' AS name,
-            {f"'{c}'" if c else 'NULL'} AS columns, {f"'{w}'" if w else 'NULL'} AS reason
-            FROM {table} LIMIT 1"""
+            {f"'{c}'" if c else 'NULL'} AS columns, {f"'{w}'" if w else 'NULL'} AS reason,
+            {i <= wanted} AS wanted FROM {table} LIMIT 1"""
         for i, (n, c, w) in enumerate(rows, 1)
     )
 
@@ -101,25 +101,25 @@ def _guarded_sql() -> str:
             (a, None, None) for a in ("trend_analysis", *_PROPOSAL.analyses)
         ]),
         _guarded_rows("orders", "chart", [
-            ("line", "o_orderdate", "Time series trend for o_orderdate"),
+            ("line", "o_orderdate", "Course of the measures along o_orderdate"),
             ("bar", "text", "Bars of texts"), priorities, scatter,
-            ("bar", "o_orderstatus", "Group comparison across o_orderstatus."),
-            ("histogram", "o_totalprice", "Distribution of o_totalprice across all records."),
-        ]),
+            ("bar", "o_orderstatus", "Groups of o_orderstatus side by side"),
+            ("histogram", "o_totalprice", "How o_totalprice is spread"),
+        ], 6),
     )
     crowded = "(SELECT count(DISTINCT text) / count(*) FROM documents) > 0.5"
     kept = [
         price, priorities, scatter,
-        ("bar", "lang", "Group comparison across lang."),
-        ("histogram", "n_chars", "Distribution of n_chars across all records."),
+        ("bar", "lang", "Groups of lang side by side"),
+        ("histogram", "n_chars", "How n_chars is spread"),
     ]
     documents = (
         _guarded_rows("documents", "analysis", [(a, None, None) for a in _PROPOSAL.analyses]),
-        f"SELECT * FROM ({_guarded_rows('documents', 'chart', kept)}) WHERE {crowded}",
+        f"SELECT * FROM ({_guarded_rows('documents', 'chart', kept, 5)}) WHERE {crowded}",
     )
     region = (
         _guarded_rows("region", "analysis", [("value_counts_analysis", None, None)]),
-        _guarded_rows("region", "chart", [price, ("bar", "text", "Bars of texts"), priorities]),
+        _guarded_rows("region", "chart", [price, ("bar", "text", "Bars of texts"), priorities], 3),
     )
     return union_all([*orders, *documents, *region])
 
@@ -216,7 +216,7 @@ QUERIES = [
         union_all(_plan_sql(n, *shape) for n, shape in _SHAPES.items()),
     ),
     Query(
-        "plan_guardrails", "table_name:s kind:s position:i name:s columns:s reason:s",
+        "plan_guardrails", "table_name:s kind:s position:i name:s columns:s reason:s wanted:b",
         lambda t: stacked({n: partial(_guarded, t, n) for n in _GUARDED}), _guarded_sql(),
     ),
     Query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowlens.catalog.registry import union_all
 
-NUMBER = r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*"
+NUMBER = r"\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*"
 FORMATTED = r"[$€£¥]?\s*-?(\d{1,3}(,\d{3})*|\d+)(\.\d+)?%?"
 
 
@@ -60,7 +60,6 @@ def validation(rel: str, columns) -> str:
 
     missing = " + ".join(f'count_if("{c}" IS NULL)' for c in columns)
     width = len(columns)
-    shown = "'[''' || array_to_string({0}, ''', ''') || ''']'"
     return f"""
     WITH counted AS (SELECT count(*) AS row_count, ({missing}) AS missing_cells,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({rel}))) AS duplicate_rows,
@@ -79,16 +78,13 @@ def validation(rel: str, columns) -> str:
              WHEN health_score >= 60 THEN 'C' WHEN health_score >= 40 THEN 'D' ELSE 'F' END
         AS health_grade,
         list_filter([
-          CASE WHEN missing > 10 THEN 'High cell missingness detected ('
-            || {fixed('missing', 1)} || '% missing).' END,
-          CASE WHEN duplicate > 5 THEN 'Significant duplicate rows found ('
-            || {fixed('duplicate', 1)} || '% duplicate).' END,
-          CASE WHEN len(empties) > 0 THEN 'Contains ' || len(empties)
-            || ' completely empty column(s): ' || {shown.format('empties')} || '.' END,
-          CASE WHEN len(constants) > 0 THEN 'Contains ' || len(constants)
-            || ' zero-variance column(s): ' || {shown.format('constants')} || '.' END,
-          CASE WHEN row_count < 10 THEN 'Extremely small dataset size (' || row_count
-            || ' rows). Statistical analyses may be unviable.' END
+          CASE WHEN missing > 10 THEN 'Cells without a value: ' || {fixed('missing', 1)} || '%' END,
+          CASE WHEN duplicate > 5 THEN 'Rows that repeat another: ' || {fixed('duplicate', 1)} || '%' END,
+          CASE WHEN len(empties) > 0
+            THEN 'Columns without any value: ' || array_to_string(empties, ', ') END,
+          CASE WHEN len(constants) > 0
+            THEN 'Columns with one value only: ' || array_to_string(constants, ', ') END,
+          CASE WHEN row_count < 10 THEN 'Too few rows for statistics: ' || row_count END
         ], lambda x: x IS NOT NULL) AS warnings FROM scored"""
 
 

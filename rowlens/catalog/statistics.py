@@ -30,7 +30,7 @@ def sales(t: Tables) -> DataFrame:
 SALES_SQL = {
     "descriptive_stats": sql.descriptive(SALES, SALES_MEASURES),
     "correlation_analysis": sql.correlations(SALES, SALES_MEASURES),
-    "trend_analysis": sql.trend(SALES, "l_shipdate", SALES_MEASURES[:3], SALES_TIES),
+    "trend_analysis": sql.trend(SALES, "l_shipdate", SALES_MEASURES, SALES_TIES),
     "outlier_detection": sql.outliers(SALES, SALES_MEASURES),
     "value_counts_analysis": sql.value_counts(SALES, ("l_returnflag", "l_linestatus")),
     "grouped_summary_analysis": sql.grouped(SALES, "l_returnflag", "quantity"),
@@ -61,7 +61,7 @@ def _run(t: Tables) -> DataFrame:
 
 
 _ORDERS = "SELECT * FROM orders"
-_ORDER_RESULTS = {
+ORDER_RESULTS = {
     "descriptive_stats": sql.descriptive(_ORDERS, ("o_totalprice",)),
     "trend_analysis": sql.trend(_ORDERS, "o_orderdate", ("o_totalprice",), ("o_orderkey",)),
     "outlier_detection": sql.outliers(_ORDERS, ("o_totalprice",)),
@@ -83,16 +83,20 @@ def _skipped(t: Tables, name: str) -> DataFrame:
 
 def _skipped_sql(table: str, shape: tuple[int, int, int]) -> str:
     measures, categories, dates = shape
-    rules = (
-        ("descriptive_stats", measures == 0, "No numeric columns available."),
-        ("correlation_analysis", measures < 2, "Fewer than 2 numeric columns."),
-        ("trend_analysis", not (measures and dates),
-         "Requires at least one numeric and one datetime column."),
-        ("outlier_detection", measures == 0, "No numeric columns available."),
-        ("value_counts_analysis", categories == 0, "No categorical columns available."),
-        ("grouped_summary_analysis", not (measures and categories),
-         "Requires at least one categorical and one numeric column."),
-    )
+    def lacks(*needs: tuple[int, str, int]) -> str:
+        gaps = [f"{least} {kind} column(s), {has} found" for least, kind, has in needs if has < least]
+        return "needs " + "; ".join(gaps) if gaps else ""
+
+    number, text, date = (1, "measure", measures), (1, "category", categories), (1, "date", dates)
+    rules = [
+        (name, bool(why), why)
+        for name, why in (
+            ("descriptive_stats", lacks(number)),
+            ("correlation_analysis", lacks((2, "measure", measures))),
+            ("trend_analysis", lacks(number, date)), ("outlier_detection", lacks(number)),
+            ("value_counts_analysis", lacks(text)), ("grouped_summary_analysis", lacks(number, text)),
+        )
+    ]
     return union_all(
         f"SELECT '{table}' AS table_name, '{name}' AS analysis, '{why}' AS skipped_reason "
         f"FROM {table} LIMIT 1"
@@ -141,7 +145,7 @@ QUERIES = [
         f"""SELECT 'sales' AS table_name, * FROM ({SALES_SQL['trend_analysis']})
             UNION ALL SELECT 'events', *
             FROM ({sql.trend('SELECT * FROM events', 'ts', ('value',), ('event_id',))})
-            UNION ALL SELECT 'orders', * FROM ({_ORDER_RESULTS['trend_analysis']})""",
+            UNION ALL SELECT 'orders', * FROM ({ORDER_RESULTS['trend_analysis']})""",
     ),
     Query(
         "iqr_outliers", "table_name:s column:s outlier_count:i lower_bound:6 upper_bound:6",
@@ -190,6 +194,31 @@ QUERIES = [
             for n, c, m in _GROUPED
         ),
     ),
+    Query(
+        "planned_grouping", "group:s total:2 average:4 count:i std_dev:4 rank:i",
+        lambda t: s.run_analyses(
+            t["documents"], ["grouped_summary_analysis"], find_roles(t["documents"])
+        )[0]["grouped_summary_analysis"],
+        sql.grouped("SELECT * FROM documents", "lang", "n_chars"),
+    ),
+    Query(
+        "infinite_correlations", "left_column:s right_column:s r:6",
+        lambda t: s.correlation_matrix(
+            t["lineitem"].withColumn(
+                "endless",
+                F.when(F.col("l_orderkey") == 1, F.lit(float("inf"))).otherwise(F.col("l_tax")),
+            ),
+            [*LINEITEM[:3], "endless"],
+        ),
+        f"""SELECT left_column, right_column, r
+            FROM ({sql.correlations('SELECT * FROM lineitem', LINEITEM[:3])}) UNION ALL """
+        + union_all(
+            f"""SELECT '{a}' AS left_column, '{b}' AS right_column, NULL::DOUBLE AS r FROM lineitem
+                LIMIT 1"""
+            for name in (*LINEITEM[:3], "endless")
+            for a, b in {(name, "endless"), ("endless", name)}
+        ),
+    ),
     Query(
         "dense_rank_groups", "group:s total:i rank:i",
         lambda t: s.dense_rank_groups(
@@ -205,13 +234,13 @@ QUERIES = [
         union_all(
             [
                 f"""SELECT analysis, 'done' AS status, "column", metric, value, NULL AS reason
-                    FROM ({sql.melted(n, q)})""" for n, q in _ORDER_RESULTS.items()
+                    FROM ({sql.melted(n, q)})""" for n, q in ORDER_RESULTS.items()
             ]
             + [
                 f"""SELECT '{n}' AS analysis, '{state}' AS status, NULL AS "column", NULL AS metric,
                     NULL AS value, {why} AS reason FROM orders LIMIT 1"""
                 for n, state, why in (
-                    ("correlation_analysis", "skipped", "'Fewer than 2 numeric columns.'"),
+                    ("correlation_analysis", "skipped", "'needs 2 measure column(s), 1 found'"),
                     ("forecast", "unsupported", "NULL"),
                 )
             ]

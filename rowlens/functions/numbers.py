@@ -13,7 +13,7 @@ NULL_TOKENS = (
 
 # Number syntax.
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
-NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER_TEXT = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 # Optional currency sign, optional minus, digits plain or in groups of three, decimals, percent.
 FORMATTED_NUMBER_TEXT = r"^[$€£¥]?\s*-?(\d{1,3}(,\d{3})*|\d+)(\.\d+)?%?$"

@@ -13,14 +13,6 @@ def sample_skewness(col: Column) -> Column:
     return F.when(F.count(col) > 2, F.coalesce(corrected, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def pairwise_correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present; null if either is constant there."""
-    x_both, y_both = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(
-        F.covar_pop(x_both, y_both), F.stddev_pop(x_both) * F.stddev_pop(y_both)
-    )
-
-
 def percent(part: Column, whole: Column) -> Column:
     """``part`` of ``whole`` in percent, 0 for an empty whole."""
     return F.coalesce(F.try_divide(part, whole) * 100.0, F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rowlens.operators.counts import small_cardinalities
+from rowlens.operators.counts import distinct_counts
 from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import datetime_names, numeric_names, text_names
 from rowlens.operators.statistics import correlation_matrix
@@ -25,10 +25,7 @@ HISTOGRAM_BINS = 18
 SCATTER_BINS = 20
 TOP_CATEGORIES = 10
 STACKED_CATEGORIES = 7
-HEATMAP_COLUMNS = 8
 USABLE_CATEGORY_VALUES = (2, 30)
-# A wide pivot gets one column per value; beyond this the long form has to be used.
-PIVOT_COLUMNS = 200
 
 
 def primary_metric(df: DataFrame) -> str | None:
@@ -46,7 +43,9 @@ def usable_categories(df: DataFrame) -> list[str]:
     """Text columns with 2 to 30 values; all text columns if there are none."""
     names = text_names(df)
     low, high = USABLE_CATEGORY_VALUES
-    counts = small_cardinalities(df, names)
+    if not names:
+        return []
+    counts = {r["column"]: r["distinct_count"] for r in distinct_counts(df, names).collect()}
     return [n for n in names if low <= counts.get(n, 0) <= high] or names
 
 
@@ -165,7 +164,7 @@ def pareto_top10(df: DataFrame, category: str, measure: str | None = None) -> Da
 
 
 def top_k_semi_filter(df: DataFrame, category: str, k: int = STACKED_CATEGORIES) -> DataFrame:
-    """Rows of the k most frequent values of a column; k rows are broadcast."""
+    """Rows of the k most frequent values of a column."""
     top = (
         df.where(column(category).isNotNull())
         .groupBy(column(category))
@@ -174,7 +173,7 @@ def top_k_semi_filter(df: DataFrame, category: str, k: int = STACKED_CATEGORIES)
         .limit(k)
         .select(column(category))
     )
-    return df.join(F.broadcast(top), category, "left_semi")
+    return df.join(top, category, "left_semi")
 
 
 def _cells(df: DataFrame, first: str, second: str, value: Column) -> DataFrame:
@@ -199,32 +198,27 @@ def crosstab_long(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _wide(cells: DataFrame, values: list[str]) -> DataFrame:
-    if len(values) > PIVOT_COLUMNS:
-        raise ValueError(f"{len(values)} pivot columns; use the long form")
     return cells.groupBy("category").pivot("series", values).agg(F.first("total")).fillna(0)
 
 
-def _series_values(cells: DataFrame) -> list[str]:
-    rows = cells.select("series").distinct().orderBy("series").limit(PIVOT_COLUMNS + 1).collect()
-    return [r["series"] for r in rows]
-
-
 def pivot_sum(
     df: DataFrame, first: str, second: str, measure: str, values: list[str] | None = None
 ) -> DataFrame:
-    """A measure by two categories, one column per value of the second, missing cells 0.
+    """A measure by two categories: (category, series, total) with one row per cell.
 
-    Sums are taken per (category, series) first, so only those cells reach the pivot.
+    With ``values`` of the second category there is one column for each of them instead, missing
+    cells 0. Sums are taken per (category, series) first, so only those cells reach the pivot.
     """
     cells = pivot_sum_long(df, first, second, measure)
-    return _wide(cells, values or _series_values(cells))
+    return cells if values is None else _wide(cells, values)
 
 
 def crosstab_count(
     df: DataFrame, first: str, second: str, values: list[str] | None = None
 ) -> DataFrame:
+    """Rows by two categories, in long form or with one column per given value."""
     cells = crosstab_long(df, first, second)
-    return _wide(cells, values or _series_values(cells))
+    return cells if values is None else _wide(cells, values)
 
 
 def _bin(value: Column, low: float, high: float, bins: int) -> Column:
@@ -233,13 +227,17 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return F.least(position, F.lit(bins))
 
 
+def _finite(name: str) -> Column:
+    return F.when(F.abs(numeric_value(name)) < float("inf"), numeric_value(name))
+
+
 def _range_of(df: DataFrame, names: list[str]) -> list[tuple[float, float] | None]:
-    """Smallest and largest value per column, widened by a half on each side if they are equal."""
+    """Smallest and largest finite value per column, widened by a half on each side if they are equal."""
     row = df.agg(
         *[
             e.alias(f"{kind}{i}")
             for i, n in enumerate(names)
-            for kind, e in (("low", F.min(numeric_value(n))), ("high", F.max(numeric_value(n))))
+            for kind, e in (("low", F.min(_finite(n))), ("high", F.max(_finite(n))))
         ]
     ).first()
     ranges = []
@@ -253,7 +251,11 @@ def _range_of(df: DataFrame, names: list[str]) -> list[tuple[float, float] | Non
 
 
 def histogram(df: DataFrame, measure: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bin, low, high, n) with every bin present."""
+    """(bin, low, high, n) with every bin present.
+
+    The bins cover the finite values; infinite ones, if there are any, are counted in a further row
+    without bin and bounds.
+    """
     (limits,) = _range_of(df, [measure])
     if limits is None:
         raise ValueError(f"{measure} has no values")
@@ -262,16 +264,19 @@ def histogram(df: DataFrame, measure: str, bins: int = HISTOGRAM_BINS) -> DataFr
     value = numeric_value(measure)
     counted = (
         df.where(column(measure).isNotNull() & value.isNotNull())
-        .groupBy(_bin(value, low, high, bins).alias("bin"))
+        .groupBy(F.when(F.abs(value) < float("inf"), _bin(_finite(measure), low, high, bins)).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
+    endless = counted.where("bin IS NULL").select(
+        "bin", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "n"
+    )
     frame = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counted, "bin", "left").select(
         "bin",
         (F.lit(low) + (F.col("bin") - 1) * width).alias("low"),
         (F.lit(low) + F.col("bin") * width).alias("high"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-    )
+    ).unionAll(endless)
 
 
 def p50_p90(df: DataFrame, measures: list[str], approx: bool = False) -> DataFrame:
@@ -288,7 +293,9 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFrame:
     """The scatter as counts on a grid: as many rows as filled cells, whatever the table size."""
-    points = scatter_points(df, x, y)
+    points = scatter_points(df, x, y).where(
+        (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    )
     x_range, y_range = _range_of(points, ["x", "y"])
     if x_range is None:
         raise ValueError(f"{x} and {y} have no complete pairs")
@@ -309,9 +316,8 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlation_heatmap(df: DataFrame, include: list[str] | None = None) -> DataFrame:
-    """Correlations of the first eight numeric columns, identifiers included unless a list says
-    otherwise."""
-    names = (numeric_names(df) if include is None else include)[:HEATMAP_COLUMNS]
+    """Correlations of all numeric columns, identifiers included, or of the columns in a list."""
+    names = numeric_names(df) if include is None else include
     if len(names) < 2:
         raise ValueError("a correlation heatmap needs two numeric columns")
     return correlation_matrix(df, names)

@@ -20,7 +20,6 @@ from rowlens.functions.numbers import (
 )
 from rowlens.operators.counts import present
 from rowlens.operators.quality import (
-    BROADCAST_HASHES,
     COLUMNS_PER_AGGREGATE,
     Repeated,
     repeated_hashes,
@@ -58,7 +57,14 @@ class Cleaned:
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
-    return df.toDF(*[name.strip() for name in df.columns])
+    """Blanks around column names go; a name that is taken by then gets the next free number."""
+    names: list[str] = []
+    for name in (n.strip() for n in df.columns):
+        free, number = name, 2
+        while free in names:
+            free, number = f"{name}_{number}", number + 1
+        names.append(free)
+    return df.toDF(*names)
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -193,9 +199,6 @@ def clean_with_report(
 
     repeated = repeated or repeated_hashes(df)
     df = without_duplicates(df, repeated)
-    if repeated.count > BROADCAST_HASHES:
-        # Finding the copies again for the second pass would shuffle the whole table again.
-        df = stage_table(df, "deduplicated")
     facts = text_number_facts(df, text_names(df))
     conversions = text_conversions(facts)
     numbers = _converted(df, conversions)

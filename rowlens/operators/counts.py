@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.session import column, small_table
 
-# Text columns whose sketched number of values is above this are never counted exactly when only
-# a small number matters; the sketch is good to a few percent.
-SMALL_CARDINALITY_GUARD = 200
+# Characters of a text that are kept beside its hash; shorter texts need not be fetched again.
+HEAD_LENGTH = 40
 
 
 def _value_kind(dtype: T.DataType) -> str:
@@ -47,18 +47,62 @@ def _name_of(names: list[str]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), F.col("place")).alias("column")
 
 
+def value_key(value: Column) -> list[Column]:
+    """Two independent 64-bit hashes that stand for a text when values are counted."""
+    return [F.xxhash64(value).alias("key"), F.xxhash64(F.lit(1), value).alias("key_too")]
+
+
+_KEY = ["place", "key", "key_too"]
+
+
 def value_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, value as text, n) for every non-null value.
+    """(place, key, key_too, n, head, whole) for every distinct non-null value.
 
-    Counts are combined before the shuffle and keyed by column and value, so a value that fills a
+    Values are counted by hash, so no text is shuffled but its first characters; ``whole`` says
+    whether these are all of it. Counts are combined before the shuffle, so a value that fills a
     third of the table costs one row per task.
     """
-    counted = unpivoted(df, names, "string").groupBy("place", "value").agg(F.count("*").alias("n"))
-    return counted.select(_name_of(names), "value", "n")
+    value = F.col("value")
+    return (
+        unpivoted(df, names, "string")
+        .select(
+            "place", *value_key(value), F.substring(value, 1, HEAD_LENGTH).alias("head"),
+            (F.length(value) <= HEAD_LENGTH).alias("whole"),
+        )
+        .groupBy(*_KEY)
+        .agg(F.count("*").alias("n"), F.min("head").alias("head"), F.min("whole").alias("whole"))
+    )
+
+
+def most_frequent(df: DataFrame, names: list[str], frequencies: DataFrame, k: int) -> DataFrame:
+    """(column, rank, value, n): the k most frequent values of each column, ties by value.
+
+    The heads of the texts decide which values can be among them; only texts whose head is not all
+    of them are fetched from the table, by their hashes, to settle ties and to be shown.
+    """
+    by_head = W.partitionBy("place").orderBy(F.desc("n"), F.asc("head"))
+    leading = frequencies.withColumn("rank", F.rank().over(by_head)).where(F.col("rank") <= k)
+    short = leading.where("whole").select("place", "n", F.col("head").alias("value"))
+    wanted = leading.where("NOT whole").select(*_KEY, "n")
+    texts = unpivoted(df, names, "string").where(F.length("value") > HEAD_LENGTH)
+    fetched = (
+        texts.select("place", *value_key(F.col("value")), "value")
+        .join(wanted, _KEY)
+        .groupBy(*_KEY, "n")
+        .agg(F.min("value").alias("value"))
+        .select("place", "n", "value")
+    )
+    order = W.partitionBy("place").orderBy(F.desc("n"), F.asc("value"))
+    return (
+        short.unionAll(fetched)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select(_name_of(names), "rank", "value", "n")
+    )
 
 
 def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
-    """(column, distinct_count) of the non-null values."""
+    """(column, distinct_count) of the non-null values; texts are told apart by 128-bit hashes."""
     if approx:
         pairs = df.agg(
             *[F.approx_count_distinct(present(df, n), 0.01).alias(f"c{i}") for i, n in enumerate(names)]
@@ -78,10 +122,11 @@ def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> Da
         by_kind.setdefault(_value_kind(df.schema[name].dataType), []).append(name)
     counted = None
     for kind, members in by_kind.items():
+        counted_by = value_key(F.col("value")) if kind == "string" else [F.col("value")]
         part = (
             unpivoted(df, members, kind)
             .groupBy("place")
-            .agg(F.countDistinct("value").alias("distinct_count"))
+            .agg(F.countDistinct(*counted_by).alias("distinct_count"))
             .select(_name_of(members), "distinct_count")
         )
         counted = part if counted is None else counted.unionByName(part)
@@ -90,20 +135,3 @@ def distinct_counts(df: DataFrame, names: list[str], approx: bool = False) -> Da
     return names_frame.join(counted, "column", "left").select(
         "column", F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count")
     )
-
-
-def small_cardinalities(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Exact distinct counts for the columns that have few values.
-
-    A sketch first rules out the columns with clearly more values, so no large distinct shuffle is
-    started for a column that cannot qualify. Those columns are absent from the result.
-    """
-    if not names:
-        return {}
-    sketch = df.agg(
-        *[F.approx_count_distinct(column(n)).alias(f"c{i}") for i, n in enumerate(names)]
-    ).first()
-    few = [n for n, estimate in zip(names, sketch) if estimate <= SMALL_CARDINALITY_GUARD]
-    if not few:
-        return {}
-    return {r["column"]: r["distinct_count"] for r in distinct_counts(df, few).collect()}

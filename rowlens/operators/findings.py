@@ -19,8 +19,8 @@ DRIVERS_SHOWN = 6
 FINDINGS_SHOWN = 4
 RECOMMENDATIONS_SHOWN = 5
 NOTHING_STRONG = "N/A"
-STABLE = "No strong analytical anomalies were detected; the dataset appears relatively stable."
-STAY = "Data indicators remain within baseline bounds. Maintain standard operational monitoring."
+STABLE = "Nothing in the results stands out."
+STAY = "The figures call for no action; keep watching them."
 FACTS_SCHEMA = {
     "health_score": "double", "missing_percent": "double", "missing_cells": "bigint",
     "duplicate_rows": "bigint", "row_count": "bigint", "column_count": "bigint",
@@ -159,7 +159,7 @@ def driver_ranking(matrix: DataFrame) -> DataFrame:
 
 
 def confidence_bands(matrix: DataFrame) -> DataFrame:
-    return matrix.where("left_pos < right_pos").select(
+    return matrix.where("left_pos < right_pos AND r IS NOT NULL").select(
         "left_column", "right_column", "r", confidence_band(F.col("r")).alias("confidence")
     )
 
@@ -204,21 +204,19 @@ def key_findings(facts: DataFrame, insights: DataFrame | None = None) -> DataFra
         F.when(
             score >= 95,
             F.concat(
-                F.lit("Source data quality is strong at "), shown,
-                F.lit(" / 100, so the analysis has a reliable foundation."),
+                F.lit("Quality score "), shown, F.lit(" of 100: the results rest on solid data."),
             ),
         )
         .when(
             score >= 85,
             F.concat(
-                F.lit("Source data quality is acceptable at "), shown,
-                F.lit(" / 100, but targeted cleanup opportunities remain."),
+                F.lit("Quality score "), shown, F.lit(" of 100: usable, some cleaning would help."),
             ),
         )
         .otherwise(
             F.concat(
-                F.lit("Source data quality is limited at "), shown,
-                F.lit(" / 100 and should be reviewed before major decisions."),
+                F.lit("Quality score "), shown,
+                F.lit(" of 100: look at the data before relying on results."),
             )
         )
     )
@@ -228,26 +226,24 @@ def key_findings(facts: DataFrame, insights: DataFrame | None = None) -> DataFra
             F.col("best_change").isNotNull(),
             F.concat(
                 title_label(F.col("best_trend")),
-                F.when(F.col("best_change") >= 0, " increased by ").otherwise(" declined by "),
+                F.when(F.col("best_change") >= 0, " went up by ").otherwise(" went down by "),
                 _change(F.col("best_change")),
-                F.lit(" over the measured period."),
+                F.lit(" between the first and the last date."),
             ),
         ),
         (
             "correlation",
             F.col("r").isNotNull(),
             F.concat(
-                title_label(F.col("left_column")), F.lit(" and "),
-                title_label(F.col("right_column")), F.lit(" show a correlation of "),
-                fixed(F.col("r"), 2), F.lit("."),
+                F.lit("Closest pair: "), title_label(F.col("left_column")), F.lit(" and "),
+                title_label(F.col("right_column")), F.lit(", r = "), fixed(F.col("r"), 2),
             ),
         ),
         (
             "outliers",
             _outliers() > 0,
             F.concat(
-                F.lit("Detected "), _outliers(),
-                F.lit(" outlier record(s) across the numeric measures."),
+                _outliers().cast("string"), F.lit(" value(s) lie far from the rest of their column."),
             ),
         ),
         ("quality", score.isNotNull(), quality),
@@ -258,7 +254,7 @@ def key_findings(facts: DataFrame, insights: DataFrame | None = None) -> DataFra
             F.lit(len(rules)).alias("priority"),
             F.lit(0).alias("place"),
             F.lit("insight").alias("code"),
-            F.concat(F.lit("Top generated insight: "), F.col("text")).alias("text"),
+            F.concat(F.lit("First insight: "), F.col("text")).alias("text"),
         )
         rows = rows.unionByName(first)
     return _numbered(_or_else(rows, facts, "stable", STABLE), FINDINGS_SHOWN)
@@ -290,10 +286,7 @@ def recommendations(facts: DataFrame, results: dict[str, DataFrame]) -> DataFram
             (
                 "quality",
                 score < 90,
-                F.lit(
-                    "Data hygiene opportunities detected. Establish automated collection "
-                    "validation to resolve missing values."
-                ),
+                F.lit("Check new data as it comes in: the quality score is below 90."),
             )
         ],
     ).withColumn("priority", F.lit(3))
@@ -303,14 +296,14 @@ def recommendations(facts: DataFrame, results: dict[str, DataFrame]) -> DataFram
         text = F.when(
             change < 0,
             F.concat(
-                title_label(F.col("column")), F.lit(" declined by "), _change(change),
-                F.lit(" over the evaluated timeframe. Investigate drivers."),
+                F.lit("Find out why "), title_label(F.col("column")), F.lit(" fell by "),
+                _change(change), F.lit("."),
             ),
         ).when(
             change > 20,
             F.concat(
-                title_label(F.col("column")), F.lit(" grew by "), _change(change),
-                F.lit(". Capitalize on key drivers behind this growth."),
+                title_label(F.col("column")), F.lit(" rose by "), _change(change),
+                F.lit(": see what it depends on."),
             ),
         )
         rows = rows.unionByName(
@@ -323,8 +316,8 @@ def recommendations(facts: DataFrame, results: dict[str, DataFrame]) -> DataFram
         text = F.when(
             F.col("outlier_count") > 0,
             F.concat(
-                F.lit("Detected "), F.col("outlier_count"), F.lit(" outlier record(s) in "), spaced,
-                F.lit(". Review records for data entry anomalies."),
+                F.lit("Look at "), F.col("outlier_count"), F.lit(" unusual value(s) of "), spaced,
+                F.lit(" before using them."),
             ),
         )
         rows = rows.unionByName(
@@ -337,9 +330,9 @@ def recommendations(facts: DataFrame, results: dict[str, DataFrame]) -> DataFram
         text = F.when(
             F.abs("r") > 0.7,
             F.concat(
-                F.lit("Strong correlation ("), fixed(F.col("r"), 2), F.lit(") observed between "),
                 F.replace(F.col("left_column"), F.lit("_"), F.lit(" ")), F.lit(" and "),
-                F.replace(F.col("right_column"), F.lit("_"), F.lit(" ")), F.lit("."),
+                F.replace(F.col("right_column"), F.lit("_"), F.lit(" ")),
+                F.lit(" tell much the same (r = "), fixed(F.col("r"), 2), F.lit(")."),
             ),
         )
         rows = rows.unionByName(
@@ -363,24 +356,24 @@ def alerts(facts: DataFrame) -> DataFrame:
             (
                 "POSITIVE",
                 (score == 100) & (F.col("missing_cells") == 0),
-                F.lit("Dataset quality is excellent — no missing values detected."),
+                F.lit("Full quality score, every cell filled"),
             ),
             (
                 "CRITICAL",
                 score < 70,
                 F.concat(
-                    F.lit("Data health score is low ("), score_text(score),
-                    F.lit("/100) — investigate data collection process."),
+                    F.lit("Quality score "), score_text(score),
+                    F.lit(" of 100: look at how the data is collected"),
                 ),
             ),
             (
                 "WARNING",
                 _outliers() > 0,
-                F.concat(_outliers(), F.lit(" outlier record(s) detected across numeric fields.")),
+                F.concat(_outliers(), F.lit(" unusual value(s) in the measures")),
             ),
         ],
     )
-    text = "No major alerts or critical system errors detected."
+    text = "No alert"
     return _numbered(_or_else(rows, facts, "INFO", text), 4)
 
 
@@ -390,12 +383,12 @@ def executive_snapshot(facts: DataFrame, plan_summary: str | None = None) -> Dat
         (
             "Dataset size",
             F.concat(F.col("row_count"), F.lit(" rows x "), F.col("column_count"), F.lit(" columns")),
-            F.lit("Defines the scope and confidence of the analysis."),
+            F.lit("How much the results rest on"),
         ),
         (
             "Data health",
             F.concat(score_text(F.col("health_score")), F.lit(" / 100")),
-            F.lit("Confirms the quality of the source data before interpretation."),
+            F.lit("How far the source can be trusted"),
         ),
         (
             "Primary trend",
@@ -403,11 +396,11 @@ def executive_snapshot(facts: DataFrame, plan_summary: str | None = None) -> Dat
                 title_label(F.col("first_trend")), F.lit(" "),
                 fixed(F.col("first_change"), 1, False), F.lit("%"),
             ),
-            F.lit("Shows the main direction of movement across the observed period."),
+            F.lit("Where the first measure is heading"),
         ),
         (
             "Plan summary",
-            F.when(F.lit(bool(plan_summary)), "Execution plan confirmed"),
+            F.when(F.lit(bool(plan_summary)), "As planned"),
             F.lit(plan_summary),
         ),
     ]

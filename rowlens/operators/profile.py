@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.numbers import finite_or_null, sanitized
 from rowlens.functions.statistics import percent, sample_skewness
-from rowlens.operators.counts import distinct_counts, value_frequencies
+from rowlens.operators.counts import distinct_counts, most_frequent, value_frequencies
 from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import Roles, find_roles
 from rowlens.session import column, pin, run_together, small_table
@@ -139,16 +139,7 @@ def top_values(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     The limit per column is applied before the shuffle as well as after it, so a column with very
     many values does not gather in one task.
     """
-    return _ranked(value_frequencies(df, names), k)
-
-
-def _ranked(frequencies: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        frequencies.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("column", "rank", "value", "n")
-    )
+    return most_frequent(df, names, value_frequencies(df, names), k)
 
 
 def mode_values(df: DataFrame, names: list[str]) -> DataFrame:
@@ -164,9 +155,9 @@ def categorical_profile(
     if not names:
         return small_table(df.sparkSession, [], CATEGORICAL_SCHEMA)
     frequencies = value_frequencies(df, names)
-    distinct = frequencies.groupBy("column").agg(F.count("*").alias("unique_values"))
+    distinct = frequencies.groupBy("place").agg(F.count("*").alias("unique_values"))
     top = (
-        _ranked(frequencies, k)
+        most_frequent(df, names, frequencies, k)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
         .select(
@@ -186,7 +177,7 @@ def categorical_profile(
     missing = F.col("n_rows") - F.col("n_values")
     filled = F.col("n_values") > 0
     return (
-        cells.join(distinct, "column", "left")
+        cells.join(distinct, F.col("position") == F.col("place"), "left")
         .join(top, "column", "left")
         .select(
             "position",

@@ -138,11 +138,17 @@ def review_decision(rounds: DataFrame) -> DataFrame:
     """(run, round, approved, decision) from review rounds (run, round, approved, missing).
 
     A run is sent back at most twice, and not again if the same analyses are asked for as in the
-    round before. The round before is found by an equi-join on run and round, so a run with very
-    many rounds is spread over tasks.
+    round before. Several rows of one round are one round: approved if one of them is, and asking for
+    all that any of them asks for. The round before is found by an equi-join on run and round, so a run
+    with very many rounds is spread over tasks.
     """
-    wanted = F.array_sort(F.array_distinct(F.coalesce("missing", F.array().cast("array<string>"))))
-    rounds = rounds.withColumn("missing", wanted)
+    none = F.array().cast("array<string>")
+    rounds = rounds.groupBy("run", "round").agg(
+        F.max(F.coalesce("approved", F.lit(False))).alias("approved"),
+        F.array_sort(
+            F.array_distinct(F.flatten(F.collect_set(F.coalesce("missing", none))))
+        ).alias("missing"),
+    )
     before = rounds.select(
         "run", (F.col("round") + 1).alias("round"), F.col("missing").alias("missing_before")
     )

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlens.functions.statistics import pairwise_correlation
-from rowlens.operators.counts import present
+from rowlens.operators.correlation import correlation_matrix
+from rowlens.operators.counts import distinct_counts, present
 from rowlens.operators.profile import (
     MEASURES_PER_AGGREGATE,
     QUARTILES,
@@ -16,14 +16,13 @@ from rowlens.operators.profile import (
     top_values,
 )
 from rowlens.operators.quantiles import column_quantiles, numeric_value
-from rowlens.operators.roles import Roles
+from rowlens.operators.roles import Roles, find_roles
 from rowlens.session import column, small_table
 
-PAIRS_PER_AGGREGATE = 9
-TREND_MEASURES = 3
-COUNTED_CATEGORIES = 5
 TOP_VALUES = 10
 TOP_GROUPS = 10
+# Groups a category needs to be worth comparing.
+COMPARABLE_GROUPS = (2, 20)
 # Text that stands for a missing value in value counts.
 MISSING_TEXT = "nan"
 ANALYSES = (
@@ -62,61 +61,6 @@ def descriptive_stats(
     return per_column(df, names, fields, MEASURES_PER_AGGREGATE).where("count > 0")
 
 
-def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(left_pos, right_pos, left_column, right_column, r) for each unordered pair, one aggregate
-    over the table per batch of pairs."""
-    if len(names) < 2:
-        raise ValueError("correlations need two columns")
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    parts = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        cells = [
-            F.struct(
-                F.lit(i).alias("left_pos"),
-                F.lit(j).alias("right_pos"),
-                F.lit(names[i]).alias("left_column"),
-                F.lit(names[j]).alias("right_column"),
-                pairwise_correlation(numeric_value(names[i]), numeric_value(names[j])).alias("r"),
-            ).alias(f"p{i}_{j}")
-            for i, j in pairs[start : start + PAIRS_PER_AGGREGATE]
-        ]
-        part = df.agg(*cells)
-        part = part.select(F.inline(F.array(*[F.col(c) for c in part.columns])))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
-    """The full matrix in long form; 1 on the diagonal, null for a constant column."""
-    upper = correlation_pairs(df, names)
-    columns = ["left_pos", "right_pos", "left_column", "right_column", "r"]
-    swapped = ["right_pos", "left_pos", "right_column", "left_column", "r"]
-    # A constant column has no defined correlation, not even with itself.
-    diagonal = per_column(
-        df,
-        names,
-        lambda n: [(F.min(numeric_value(n)) < F.max(numeric_value(n))).alias("varies")],
-        4 * MEASURES_PER_AGGREGATE,
-    ).select(
-        F.col("position").alias("left_pos"),
-        F.col("position").alias("right_pos"),
-        F.col("column").alias("left_column"),
-        F.col("column").alias("right_column"),
-        F.when(F.col("varies"), 1.0).alias("r"),
-    )
-    both = upper.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(*[F.col(c).alias(name) for c, name in zip(order, columns)])
-                    for order in (columns, swapped)
-                ]
-            )
-        )
-    )
-    return both.unionByName(diagonal)
-
-
 def default_tie_break(df: DataFrame, roles: Roles, used: list[str]) -> list[str]:
     """Columns that decide between rows of the same date: identifiers, else all other columns."""
     orderable = [
@@ -129,13 +73,12 @@ def default_tie_break(df: DataFrame, roles: Roles, used: list[str]) -> list[str]
 def trend_change(
     df: DataFrame, date: str, names: list[str], tie_break: list[str]
 ) -> DataFrame:
-    """First and last value by date and the change in percent, for the first three measures.
+    """First and last value by date and the change in percent, for each measure.
 
     A plain minimum and maximum finds the first and last date at which each measure has a value;
     only the rows of those dates are then put in order by the tie-break columns, and the filter on
     the dates reaches the scan. Rows with a missing date or value are ignored.
     """
-    names = names[:TREND_MEASURES]
     present_at = [F.when(numeric_value(n).isNotNull(), column(date)) for n in names]
     ends = df.agg(
         *[
@@ -164,7 +107,7 @@ def trend_change(
             .alias("percent_change"),
         ]
 
-    return per_column(rows, names, fields, TREND_MEASURES).where("first_value IS NOT NULL")
+    return per_column(rows, names, fields, MEASURES_PER_AGGREGATE).where("first_value IS NOT NULL")
 
 
 def outlier_fences(
@@ -227,16 +170,36 @@ def outlier_rows(df: DataFrame, names: list[str], approx: bool = False) -> DataF
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """The ten most frequent values of the first five categories; missing shows as text."""
-    names = names[:COUNTED_CATEGORIES]
+    """The ten most frequent values of each category; missing shows as text."""
     texts = df.select(
         *[F.coalesce(present(df, n).cast("string"), F.lit(MISSING_TEXT)).alias(n) for n in names]
     )
     return top_values(texts, names, TOP_VALUES)
 
 
-def grouped_summary(df: DataFrame, category: str, measure: str) -> DataFrame:
-    """Total, average, count and spread of a measure for the ten largest groups, with their rank."""
+def grouping_category(df: DataFrame, names: list[str]) -> str | None:
+    """The first category with 2 to 20 values; the columns are counted together in one pass."""
+    if not names:
+        return None
+    counts = {r["column"]: r["distinct_count"] for r in distinct_counts(df, names).collect()}
+    low, high = COMPARABLE_GROUPS
+    return next((n for n in names if low <= counts[n] <= high), None)
+
+
+def grouped_summary(
+    df: DataFrame, category: str | None = None, measure: str | None = None, auto: bool = False
+) -> DataFrame:
+    """Total, average, count and spread of a measure for the ten largest groups, with their rank.
+
+    With ``auto`` a category or measure that is not given is chosen by the columns' roles: the first
+    category with 2 to 20 values and the first measure.
+    """
+    if auto and not (category and measure):
+        roles = find_roles(df)
+        category = category or grouping_category(df, roles.categorical)
+        measure = measure or next(iter(roles.numeric), None)
+    if not category or not measure:
+        raise ValueError("a grouped summary needs a category and a measure")
     value = numeric_value(measure)
     top = (
         df.where(column(category).isNotNull())
@@ -258,30 +221,24 @@ def dense_rank_groups(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.dense_rank().over(W.orderBy(F.desc("total"))).cast("bigint"))
 
 
+# What each analysis takes: measures, categories and dates at least.
+NEEDS = {
+    "descriptive_stats": (1, 0, 0), "correlation_analysis": (2, 0, 0), "trend_analysis": (1, 0, 1),
+    "outlier_detection": (1, 0, 0), "value_counts_analysis": (0, 1, 0),
+    "grouped_summary_analysis": (1, 1, 0),
+}
+
+
 def skip_reasons(roles: Roles) -> list[tuple[str, str]]:
-    """Analyses the columns of a table do not allow, and why."""
-    numeric, categories, dates = roles.numeric, roles.categorical, roles.datetime
-    reasons = []
-    if not numeric:
-        reasons.append(("descriptive_stats", "No numeric columns available."))
-    if len(numeric) < 2:
-        reasons.append(("correlation_analysis", "Fewer than 2 numeric columns."))
-    if not numeric or not dates:
-        reasons.append(
-            ("trend_analysis", "Requires at least one numeric and one datetime column.")
-        )
-    if not numeric:
-        reasons.append(("outlier_detection", "No numeric columns available."))
-    if not categories:
-        reasons.append(("value_counts_analysis", "No categorical columns available."))
-    if not categories or not numeric:
-        reasons.append(
-            (
-                "grouped_summary_analysis",
-                "Requires at least one categorical and one numeric column.",
-            )
-        )
-    return reasons
+    """Analyses the columns of a table do not allow, and what they lack."""
+    there = (len(roles.numeric), len(roles.categorical), len(roles.datetime))
+    kinds = ("measure", "category", "date")
+    lacking = {
+        name: [f"{least} {kind} column(s), {has} found"
+               for least, kind, has in zip(needs, kinds, there) if has < least]
+        for name, needs in NEEDS.items()
+    }
+    return [(name, "needs " + "; ".join(gaps)) for name, gaps in lacking.items() if gaps]
 
 
 def run_analyses(
@@ -291,10 +248,12 @@ def run_analyses(
     approx: bool = False,
     tie_break: list[str] | None = None,
     quartiles: Quartiles | None = None,
+    group_by: str | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Result table per analysis, and (analysis, status, reason) for all that was asked for.
 
-    Unknown names do not stop the others; an empty request or one with no known name does.
+    ``group_by`` is the category of the grouped summary; without it the first one with 2 to 20 values
+    is taken, and if there is none the first. Unknown names do not stop the others; an empty request or one with no known name does.
     Quartiles are computed once for the analyses that share them.
     """
     if not analyses:
@@ -310,7 +269,7 @@ def run_analyses(
         elif name in reasons:
             status.append((name, "skipped", reasons[name]))
         else:
-            results[name] = _analysis(df, name, roles, quartiles, tie_break)
+            results[name] = _analysis(df, name, roles, quartiles, tie_break, group_by)
             status.append((name, "done", None))
     if all(state == "unsupported" for _, state, _ in status):
         raise ValueError("none of the requested analyses is known")
@@ -319,7 +278,8 @@ def run_analyses(
 
 
 def _analysis(
-    df: DataFrame, name: str, roles: Roles, quartiles: Quartiles, tie_break: list[str] | None
+    df: DataFrame, name: str, roles: Roles, quartiles: Quartiles, tie_break: list[str] | None,
+    group_by: str | None,
 ) -> DataFrame:
     if name == "descriptive_stats":
         return descriptive_stats(df, roles.numeric, quartiles=quartiles)
@@ -333,7 +293,8 @@ def _analysis(
         return iqr_outliers(df, roles.numeric, quartiles=quartiles)
     if name == "value_counts_analysis":
         return value_counts(df, roles.categorical)
-    return grouped_summary(df, roles.categorical[0], roles.numeric[0])
+    category = group_by or grouping_category(df, roles.categorical) or roles.categorical[0]
+    return grouped_summary(df, category, roles.numeric[0])
 
 
 # How each result maps to (column, metric, value): key column, then value columns.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -81,8 +81,8 @@ def analyze(df: DataFrame, plan: Plan | None = None, approx: bool = False) -> An
     }
     facts = TableFacts(profile.row_count, roles, values)
     proposed = propose_plan(facts)
-    plan = plan or proposed
-    lazy, log = run_analyses(table, list(plan.analyses), roles, approx, quartiles=profile.quartiles)
+    plan = replace(plan, group_by=plan.group_by or proposed.group_by) if plan else proposed
+    lazy, log = run_analyses(table, list(plan.analyses), roles, approx, quartiles=profile.quartiles, group_by=plan.group_by)
 
     # Analyses and charts do not depend on each other.
     steps = {name: partial(pin, frame) for name, frame in lazy.items()}
@@ -95,7 +95,8 @@ def analyze(df: DataFrame, plan: Plan | None = None, approx: bool = False) -> An
     missing = analysis_coverage(expected, log)
     insights = None
     if results:
-        measure, category = (next(iter(n), None) for n in (roles.numeric, roles.categorical))
+        measure = next(iter(roles.numeric), None)
+        category = plan.group_by or proposed.group_by or next(iter(roles.categorical), None)
         insights = pin(template_insights(results, measure, category))
     found = pin(fd.finding_facts(validation, results))
     report = report_tables(

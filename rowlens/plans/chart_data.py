@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.operators import charts as c
 from rowlens.operators.roles import numeric_names
 from rowlens.plans.rules import Chart, kind_of
-from rowlens.session import run_together, small_table
+from rowlens.session import pin, run_together, small_table
 
 
 def _long(frame: DataFrame, label: Column, **series: Column) -> DataFrame:
@@ -113,13 +114,14 @@ def run_charts(
 ) -> tuple[dict[int, DataFrame], DataFrame]:
     """Chart tables by number, and (chart_no, chart_type, status, reason) for all charts.
 
-    A chart the table does not allow is recorded and does not stop the others.
+    Each table is computed here, so a chart that fails, when it is planned or when it runs, is
+    recorded and does not stop the others.
     """
     def attempt(chart: Chart) -> DataFrame | str:
         try:
-            return chart_data(df, chart)
-        except ValueError as problem:
-            return f"{chart.chart_type}: {problem}"
+            return pin(chart_data(df, chart))
+        except (ValueError, PySparkException) as problem:
+            return f"{chart.chart_type}: {str(problem).splitlines()[0]}"
 
     numbered = dict(enumerate(charts, 1))
     done = run_together(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rowlens.operators.charts import date_column, primary_metric, usable_categories
 from rowlens.operators.counts import distinct_counts
 from rowlens.operators.roles import Roles, find_roles, numeric_names
-from rowlens.operators.statistics import ANALYSES
+from rowlens.operators.statistics import ANALYSES, COMPARABLE_GROUPS
 from rowlens.session import small_table
 
 # Chart names people use, and the kind of chart they mean.
@@ -30,15 +30,11 @@ CHART_KINDS = {
     "correlation_heatmap": "correlation_heatmap",
 }
 DEFAULT_CHART = "pareto_bar"
-NUMERIC_ANALYSES = tuple(a for a in ANALYSES if a != "value_counts_analysis")
-NUMERIC_CHARTS = ("line", "scatter", "histogram", "correlation_heatmap")
-# Groups a category needs to be worth comparing, the share of distinct values that
-# makes it a name column, and chart numbers.
-COMPARABLE_GROUPS = (2, 20)
+# The share of distinct values that makes a category a name column, and how many
+# charts a reader is meant to look at.
 NAME_LIKE_SHARE = 0.5
 ENOUGH_CHARTS = 4
-FEWEST_CHARTS, MOST_CHARTS = 3, 6
-HEATMAP_AUTO_COLUMNS = 5
+FEWEST_WANTED, MOST_WANTED = 3, 6
 CHART_SCHEMA = (
     "position int, chart_type string, columns string, reason string, auto_generated boolean"
 )
@@ -52,8 +48,8 @@ class Chart:
     auto_generated: bool = False
 
     @property
-    def words(self) -> str:
-        return " ".join((self.chart_type, *self.columns, self.reason)).lower()
+    def kind(self) -> str:
+        return kind_of(self.chart_type)
 
 
 @dataclass(frozen=True)
@@ -61,6 +57,13 @@ class Plan:
     analyses: tuple[str, ...] = ()
     charts: tuple[Chart, ...] = ()
     summary: str = ""
+    #: The category by which groups are compared.
+    group_by: str | None = None
+
+    @property
+    def wanted_charts(self) -> int:
+        """How many of the charts, in order, a reader is meant to look at; all are computed."""
+        return max(FEWEST_WANTED, min(len(self.analyses) + 2, MOST_WANTED))
 
 
 @dataclass
@@ -118,78 +121,131 @@ def analysis_plan(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     )
 
 
-def guard_plan(plan: Plan, facts: TableFacts) -> Plan:
-    """Make a proposed plan fit the table: drop what cannot work, add what must be there."""
-    roles = facts.roles
-    analyses = list(plan.analyses)
-    charts = list(plan.charts)
-    measures, categories, dates = roles.numeric, roles.categorical, roles.datetime
+@dataclass(frozen=True)
+class Topic:
+    """Something a table should be shown by: the columns it takes, and the chart that shows it.
+
+    ``takes`` names slots of a table (see :func:`slots`); a table without one of them has no such
+    topic. ``shows`` are the slots that become the chart's columns. ``part_of`` is the analysis whose
+    results the chart pictures: it is required of a plan, unless ``brings`` says that the topic adds it.
+    """
 
-    if not measures:
-        analyses = [a for a in analyses if a not in NUMERIC_ANALYSES]
-        charts = [c for c in charts if c.chart_type not in NUMERIC_CHARTS]
-        if categories and "value_counts_analysis" not in analyses:
-            analyses.append("value_counts_analysis")
+    kind: str
+    chart_type: str
+    takes: tuple[str, ...]
+    shows: tuple[str, ...]
+    why: str
+    part_of: str | None = None
+    brings: bool = False
+
+    def chart(self, found: dict[str, object]) -> Chart | None:
+        if not all(found.get(slot) for slot in self.takes):
+            return None
+        columns: list[str] = []
+        for slot in self.shows:
+            value = found[slot]
+            columns += value if isinstance(value, list) else [value]
+        words = {k: ", ".join(v) if isinstance(v, list) else v for k, v in found.items()}
+        return Chart(self.chart_type, tuple(columns), self.why.format(**words))
+
+
+# What a plan for a table has to picture, the most telling first.
+PLAN_TOPICS = (
+    Topic("line", "line", ("date", "measure"), ("date",), "Course of the measures along {date}",
+          part_of="trend_analysis", brings=True),
+    Topic("pareto_bar", "bar", ("grouping", "measure"), ("grouping",), "Groups of {grouping} side by side",
+          part_of="grouped_summary_analysis"),
+    Topic("quantile_hist", "histogram", ("measure",), ("measure",), "How {measure} is spread"),
+    Topic("correlation_heatmap", "correlation_heatmap", ("several",), ("several",),
+          "How the measures move together", part_of="correlation_analysis"),
+)
+# What a table can be shown by when hardly anything is planned.
+AUTO_TOPICS = (
+    Topic("line", "line", ("date", "measure"), ("measure",), "{measure} by period"),
+    Topic("pareto_bar", "pareto_bar", ("category", "measure"), ("category", "measure"),
+          "Largest totals of {measure} among {category}"),
+    Topic("stacked_bar", "stacked_bar", ("category", "other"), ("category", "other"),
+          "{category} split by {other}"),
+    Topic("quantile_hist", "quantile_hist", ("measure",), ("measure",),
+          "Values of {measure} with median and 90th percentile"),
+    Topic("correlation_heatmap", "correlation_heatmap", ("several",), ("several",),
+          "Correlations of {several}"),
+    Topic("pareto_bar", "pareto_bar", ("other", "measure", "single"), ("other", "measure"),
+          "Largest totals of {measure} among {other}"),
+)
 
-    charts = [c for c in charts if not _pointless_bar(c, facts)]
 
-    if dates and measures:
-        if not any(word in a.lower() for a in analyses for word in ("time", "trend")):
-            analyses.insert(0, "trend_analysis")
-        if not any(word in c.words for c in charts for word in ("line", "time")):
-            charts.insert(0, Chart("line", (dates[0],), f"Time series trend for {dates[0]}"))
+def slots(measures: list[str], date: str | None, categories: list[str], grouping: str | None,
+          metric: str | None) -> dict[str, object]:
+    """Which columns of a table play which part in charts; parts nobody plays are empty."""
+    return {
+        "measure": metric, "date": date, "grouping": grouping,
+        "category": categories[0] if categories else None,
+        "other": categories[1] if len(categories) > 1 else None,
+        "several": measures if len(measures) > 1 else None,
+        "single": metric if len(measures) < 2 else None,
+    }
 
-    grouping = facts.comparable_category()
-    if "grouped_summary_analysis" in analyses and measures and grouping:
-        if not any("group" in c.reason.lower() for c in charts):
-            charts.append(Chart("bar", (grouping,), f"Group comparison across {grouping}."))
-    if measures and not any(c.chart_type == "histogram" for c in charts):
-        reason = f"Distribution of {measures[0]} across all records."
-        charts.append(Chart("histogram", (measures[0],), reason))
-    if len(measures) >= 2 and "correlation_analysis" in analyses:
-        if not any(c.chart_type == "correlation_heatmap" for c in charts):
-            reason = "Visual correlation strength between all numeric columns."
-            charts.append(Chart("correlation_heatmap", tuple(measures), reason))
-
-    most = max(FEWEST_CHARTS, min(len(analyses) + 2, MOST_CHARTS))
-    return replace(plan, analyses=tuple(analyses), charts=tuple(charts[:most]))
-
-
-def _pointless_bar(chart: Chart, facts: TableFacts) -> bool:
-    """A bar chart of a measure, or of a column where most values occur once."""
+
+def _needs_measure(analysis: str) -> bool:
+    return analysis in ANALYSES and analysis != "value_counts_analysis"
+
+
+def _fits(chart: Chart, facts: TableFacts) -> bool:
+    """Whether a chart says something about the table.
+
+    Kinds other than bars need a measure. Bars need repeated values: not a measure, and no category
+    whose values mostly occur once.
+    """
+    if chart.kind not in ("pareto_bar", "stacked_bar"):
+        return bool(facts.roles.numeric)
     if chart.chart_type != "bar" or not chart.columns:
-        return False
-    name = chart.columns[0]
-    if name in facts.roles.categorical:
-        rows = facts.row_count or 1
-        return facts.category_values.get(name, 0) / rows > NAME_LIKE_SHARE
-    return name in facts.roles.numeric
+        return True
+    (name, *_), roles = chart.columns, facts.roles
+    if name in roles.categorical:
+        return facts.category_values.get(name, 0) <= NAME_LIKE_SHARE * max(facts.row_count, 1)
+    return name not in roles.numeric
+
+
+def guard_plan(plan: Plan, facts: TableFacts) -> Plan:
+    """Make a proposed plan fit the table: each topic of the table pictured, nothing that cannot be.
+
+    No chart is cut off; :attr:`Plan.wanted_charts` says how many are meant to be looked at.
+    """
+    roles = facts.roles
+    grouping = facts.comparable_category()
+    found = slots(
+        roles.numeric, next(iter(roles.datetime), None), roles.categorical, grouping,
+        next(iter(roles.numeric), None),
+    )
+    analyses = [a for a in plan.analyses if roles.numeric or not _needs_measure(a)]
+    if not roles.numeric and roles.categorical:
+        analyses = list(dict.fromkeys([*analyses, "value_counts_analysis"]))
+    charts = [c for c in plan.charts if _fits(c, facts)]
+    for topic in PLAN_TOPICS:
+        chart = topic.chart(found)
+        if chart is None:
+            continue
+        if topic.brings:
+            analyses = [*({topic.part_of} - set(analyses)), *analyses]
+        required = topic.part_of is None or topic.part_of in analyses
+        same = [c for c in charts if c.kind == topic.kind]
+        if topic.kind == "pareto_bar":
+            same = [c for c in same if c.columns[:1] == chart.columns]
+        if required and not same:
+            charts = [chart, *charts] if topic.brings else [*charts, chart]
+    return replace(
+        plan, analyses=tuple(analyses), charts=tuple(charts), group_by=plan.group_by or grouping
+    )
 
 
 def auto_charts(df: DataFrame) -> list[Chart]:
     """Charts a table allows by its columns alone."""
-    measure, date = primary_metric(df), date_column(df)
-    categories, numbers = usable_categories(df), numeric_names(df)
-    charts = []
-    if date and measure:
-        charts.append(Chart("line", (measure,), f"Time-series trend for {measure}"))
-    if categories and measure:
-        reason = f"Top segment Pareto breakdown of {measure} by {categories[0]}"
-        charts.append(Chart("pareto_bar", (categories[0], measure), reason))
-    if len(categories) >= 2:
-        first, second = categories[:2]
-        reason = f"Cross-tabulation distribution between {first} and {second}"
-        charts.append(Chart("stacked_bar", (first, second), reason))
-    if measure:
-        reason = f"Distribution and quantile threshold spread for {measure}"
-        charts.append(Chart("quantile_hist", (measure,), reason))
-    if len(numbers) >= 2:
-        columns = tuple(numbers[:HEATMAP_AUTO_COLUMNS])
-        charts.append(Chart("correlation_heatmap", columns, "Inter-feature correlation analysis"))
-    elif len(categories) >= 2 and measure:
-        reason = f"Secondary breakdown of {measure} by {categories[1]}"
-        charts.append(Chart("pareto_bar", (categories[1], measure), reason))
-    return [replace(c, auto_generated=True) for c in charts]
+    found = slots(
+        numeric_names(df), date_column(df), usable_categories(df), None, primary_metric(df)
+    )
+    charts = [topic.chart(found) for topic in AUTO_TOPICS]
+    return [replace(c, auto_generated=True) for c in charts if c is not None]
 
 
 def with_auto_charts(df: DataFrame, planned: tuple[Chart, ...]) -> tuple[Chart, ...]:
@@ -209,14 +265,15 @@ def chart_table(spark: SparkSession, charts: tuple[Chart, ...]) -> DataFrame:
 
 
 def plan_table(spark: SparkSession, plan: Plan) -> DataFrame:
-    """Analyses and charts of a plan as rows (kind, position, name, columns, reason)."""
-    rows = [("analysis", i, a, None, None) for i, a in enumerate(plan.analyses, 1)]
+    """Analyses and charts of a plan as rows (kind, position, name, columns, reason, wanted)."""
+    rows = [("analysis", i, a, None, None, True) for i, a in enumerate(plan.analyses, 1)]
     rows += [
-        ("chart", i, c.chart_type, ",".join(c.columns), c.reason)
+        ("chart", i, c.chart_type, ",".join(c.columns), c.reason, i <= plan.wanted_charts)
         for i, c in enumerate(plan.charts, 1)
     ]
     return small_table(
-        spark, rows, "kind string, position int, name string, columns string, reason string"
+        spark, rows,
+        "kind string, position int, name string, columns string, reason string, wanted boolean",
     )
 
 

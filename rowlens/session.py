@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# Result tables (one row per column, pair or category) up to this many rows may be
-# held as local data; anything larger stays a lazy DataFrame.
+# Result tables (one row per column, pair or category) up to this many rows are held as local data;
+# larger ones are written.
 SMALL_RESULT_ROWS = 10_000
 JOBS_TOGETHER = 8
 
@@ -78,13 +78,13 @@ def stage_table(df: DataFrame, name: str = "staged") -> DataFrame:
 
 
 def pin(df: DataFrame, max_rows: int = SMALL_RESULT_ROWS) -> DataFrame:
-    """Turn a small result table into local data, so what builds on it does not run it again.
+    """Compute a result table once, so that what builds on it does not run it again.
 
-    A result with more than ``max_rows`` rows is handed back unchanged, still lazy.
+    Up to ``max_rows`` rows are held as local data, more are written to the shared folder.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
+        return stage_table(df, "result")
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 

@@ -27,9 +27,24 @@ DATE_FORMS = (
     (rf"{_YEAR}/{_DAY}/{_DAY} {_CLOCK}:\d{{2}}", "yyyy/M/d H:mm:ss"),
     (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}:\d{{2}}", "M/d/yyyy H:mm:ss"),
     (rf"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}:\d{{2}}", "d/M/yyyy H:mm:ss"),
+    (rf"[A-Z][a-z]{{2}} {_DAY} {_YEAR}", "MMM d yyyy"),
+    (rf"[A-Z][a-z]{{3,}} {_DAY} {_YEAR}", "MMMM d yyyy"),
+    (rf"[A-Z][a-z]{{2}} {_YEAR}", "MMM yyyy"),
+    (rf"[A-Z][a-z]{{3,}} {_YEAR}", "MMMM yyyy"),
+    (rf"{_DAY}-[A-Z][a-z]{{2}}-{_YEAR}", "d-MMM-yyyy"),
+    (rf"{_MONTH}/{_DAY}/\d{{2}}", "M/d/yy"),
+    (rf"{_DAY}/{_MONTH}/\d{{2}}", "d/M/yy"),
+    (rf"{_YEAR}\.{_DAY}\.{_DAY}", "yyyy.M.d"),
+    (rf"{_DAY}\.{_MONTH}\.{_YEAR}", "d.M.yyyy"),
+    (r"(19|20)\d{6}", "yyyyMMdd"),
+    (rf"{_MONTH}/{_YEAR}", "M/yyyy"),
+    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK} [AP]M", "M/d/yyyy h:mm a"),
+    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}:\d{{2}} [AP]M", "M/d/yyyy h:mm:ss a"),
     (f"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}", "M/d/yyyy H:mm"),
     (f"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}", "d/M/yyyy H:mm"),
 )
+# Two-digit years from 69 on belong to the last century.
+SHORT_YEAR_BEFORE_2000 = r"/(69|[7-9]\d)$"
 QUARTER = rf"^({_YEAR})-?Q([1-4])$"
 PARSED_SHARE = 0.8
 
@@ -44,10 +59,12 @@ def parse_date(text: Column) -> Column:
     for pattern, form in reversed(DATE_FORMS):
         parsed = F.try_to_timestamp(trimmed, F.lit(form)).cast("timestamp_ntz")
         written = F.when(trimmed.rlike(f"^{pattern}$"), parsed).otherwise(written)
+    earlier = trimmed.rlike(SHORT_YEAR_BEFORE_2000) & ~trimmed.rlike(r"\d{4}")
+    written = F.when(earlier, written - F.expr("INTERVAL '100' YEAR")).otherwise(written)
     year, quarter = (F.regexp_extract(trimmed, QUARTER, i).cast("int") for i in (1, 2))
     start = F.make_date(year, quarter * 3 - 2, F.lit(1)).cast("timestamp_ntz")
     written = F.when(trimmed.rlike(QUARTER), start).otherwise(written)
-    return F.coalesce(trimmed.try_cast("timestamp_ntz"), F.when(trimmed.rlike("[0-9]{4}"), written))
+    return F.coalesce(trimmed.try_cast("timestamp_ntz"), F.when(trimmed.rlike("[0-9]{2}"), written))
 
 
 def date_candidates(df: DataFrame) -> list[str]:

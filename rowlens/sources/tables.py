@@ -20,7 +20,7 @@ from rowlens.sources.dates import parse_date_columns
 COLUMNS_PER_AGGREGATE = 20
 # What Spark writes for bytes that are not valid UTF-8.
 REPLACEMENT = "�"
-NO_DATA = "The loaded dataset has no rows or columns."
+NO_DATA = "the file holds no rows or no columns"
 
 
 class LoadError(ValueError):
@@ -98,31 +98,67 @@ def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -
     )
 
 
+def _check_rows(spark: SparkSession, path: str, encoding: str, multiline: bool, names: list[str]) -> None:
+    """Refuse a file whose rows have more fields than the header; rows with fewer end in nulls."""
+    record = "__record"
+    schema = ", ".join(f"`c{k}` string" for k in range(len(names))) + f", {record} string"
+    rows = (
+        spark.read.schema(schema).option("header", True).option("encoding", encoding)
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+        .option("columnPruning", False).option("enforceSchema", True)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
+    )
+    plain = F.regexp_replace(F.col(record), '"(?:[^"]|"")*"', "")
+    wide = F.regexp_count(plain, F.lit(",")) >= len(names)
+    found = rows.agg(
+        # Counting a field too makes Spark parse whole rows.
+        F.count("c0"), F.count_if(wide).alias("n"), F.min(F.when(wide, F.substring(F.col(record), 1, 200))).alias("one")
+    ).first()
+    if found["n"]:
+        raise LoadError(
+            f"{found['n']} row(s) of {path} have more fields than the {len(names)} of the header, "
+            f"for example: {found['one']}"
+        )
+
+
+def _breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line ends inside quotes: then its quotes do not pair up."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.translate(line, '"', ""))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
 def load_csv(
-    spark: SparkSession, path: str, multiline: bool = False, stage: bool = False
+    spark: SparkSession, path: str, multiline: bool | None = None, stage: bool = False
 ) -> DataFrame:
     """A CSV file, or a folder of them, as a typed table.
 
     All columns are read as text, then missing-value spellings, types, header blanks and date
-    columns are settled. Bytes that are not UTF-8 make the file read as Latin-1. ``multiline``
-    allows line breaks inside quotes, at the price of one task per file. ``stage`` writes the typed
+    columns are settled. Bytes that are not UTF-8 make the file read as Latin-1. Nothing is lost
+    silently: rows with more fields than the header are an error that shows one of them, and line
+    breaks inside quotes are looked for first and read as part of the value, at the price of one task
+    per file. ``multiline`` says beforehand whether there are such breaks. ``stage`` writes the typed
     table once as Parquet to the shared folder, which pays off before a run with many passes.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
-        raise LoadError(f"Unsupported file type: {path}. Only .csv is supported.")
+        raise LoadError(f"not a .csv file or folder: {path}")
     try:
+        if multiline is None:
+            multiline = _breaks_inside_quotes(spark, path)
         raw = _read_text(spark, path, "UTF-8", multiline)
     except AnalysisException as error:
-        raise LoadError(f"File not found: {path}") from error
+        raise LoadError(f"no such file: {path}") from error
     if not raw.columns:
         raise LoadError(NO_DATA)
-    text = null_tokens(raw)
+    text, encoding = null_tokens(raw), "UTF-8"
     facts = _text_facts(text)
     if any(f["undecoded"] for f in facts.values()) or any(REPLACEMENT in n for n in raw.columns):
-        text = null_tokens(_read_text(spark, path, "ISO-8859-1", multiline))
+        encoding = "ISO-8859-1"
+        text = null_tokens(_read_text(spark, path, encoding, multiline))
         facts = _text_facts(text)
     if not next(iter(facts.values()))["n_rows"]:
         raise LoadError(NO_DATA)
+    _check_rows(spark, path, encoding, multiline, text.columns)
     typed = _typed(text, {n: _type_from(f) for n, f in facts.items()})
     table = parse_date_columns(trim_headers(typed))
     return stage_table(table, "loaded") if stage else table
@@ -133,5 +169,5 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
         df = spark.read.parquet(path)
     except AnalysisException as error:
-        raise LoadError(f"File not found: {path}") from error
+        raise LoadError(f"no such file: {path}") from error
     return trim_headers(df)

@@ -53,7 +53,7 @@ def test_number_text(spark):
     found = {r[0]: r[1] for r in df.select("t", to_number(F.col("t"))).collect()}
     assert found == {
         "5d": None, "nan": None, " 12 ": 12.0, "1e3": 1000.0, ".5": 0.5, "5.": 5.0, "+7": 7.0,
-        "-0": 0.0, "1_000": None, "": None, "0x1F": None, "inf": None,
+        "-0": 0.0, "1_000": None, "": None, "0x1F": None, "inf": float("inf"),
     }
 
 

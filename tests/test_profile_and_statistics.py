@@ -7,8 +7,9 @@ import pytest
 from conftest import rows
 
 from rowlens.functions.statistics import sample_skewness
-from rowlens.operators import profile, roles, statistics
-from rowlens.operators.counts import distinct_counts, small_cardinalities
+from rowlens.operators import charts, findings, profile, roles, statistics
+from rowlens.operators.correlation import correlation_pairs
+from rowlens.operators.counts import distinct_counts, value_frequencies
 
 
 def test_identifier_by_name_and_by_sequence(spark):
@@ -96,7 +97,20 @@ def test_distinct_counts(spark):
     assert rows(distinct_counts(df, ["i", "t", "d"])) == [("d", 1), ("i", 2), ("t", 2)]
     assert rows(distinct_counts(df, ["i", "t"], approx=True)) == [("i", 2), ("t", 2)]
     wide = spark.range(5000).selectExpr("cast(id as string) as many", "cast(id % 30 as string) as few")
-    assert small_cardinalities(wide, ["many", "few"]) == {"few": 30}
+    assert rows(distinct_counts(wide, ["many", "few"])) == [("few", 30), ("many", 5000)]
+
+
+def test_top_values_of_long_texts(spark):
+    """Texts alike in their first characters are told apart; no long text is shuffled to be counted."""
+    head = "x" * 60
+    data = [(head + "b",)] * 3 + [(head + "a",)] * 3 + [(head + "c",)] + [("short",)] * 2 + [(None,)]
+    df = spark.createDataFrame(data, "t string")
+    found = profile.top_values(df, ["t"], 3).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in found] == [(head + "a", 3), (head + "b", 3), ("short", 2)]
+    ties = spark.createDataFrame([(head + str(k),) for k in range(9)], "t string")
+    assert [r["value"][-1] for r in profile.top_values(ties, ["t"], 2).orderBy("rank").collect()] == ["0", "1"]
+    counted = value_frequencies(df, ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" in counted.splitlines()[0]
 
 
 def test_correlation(spark):
@@ -110,12 +124,40 @@ def test_correlation(spark):
 
 def test_correlation_uses_complete_pairs(spark):
     data = [(1.0, 2.0, 1.0), (2.0, 4.0, None), (3.0, 7.0, 3.0), (None, 9.0, 4.0)]
-    found = statistics.correlation_pairs(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"])
+    found = correlation_pairs(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"])
     pairs = {(r["left_column"], r["right_column"]): r["r"] for r in found.collect()}
     assert pairs["a", "b"] == pytest.approx(0.9933992677987828)
     assert pairs["a", "c"] == pytest.approx(1.0)
 
 
+def test_correlation_with_infinite_values_is_undefined(spark):
+    inf, nan = float("inf"), float("nan")
+    data = [(1.0, 2.0, 1.0), (2.0, 4.1, inf), (3.0, 6.0, 3.0), (nan, 9.0, 4.0)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    matrix = statistics.correlation_matrix(df, ["a", "b", "c"])
+    found = {(r["left_column"], r["right_column"]): r["r"] for r in matrix.collect()}
+    assert found["a", "c"] is None and found["c", "c"] is None and found["a", "b"] > 0.99
+    assert findings.strongest_pair(matrix).first()["left_column"] == "a"
+    assert [r["column"] for r in findings.driver_ranking(matrix).collect()] == ["a", "b"]
+    assert findings.relationship_strength(matrix).count() == 1
+    assert findings.confidence_bands(matrix).count() == 1
+
+
+def test_correlation_far_from_zero(spark):
+    df = spark.range(1000).selectExpr("id * 0.001D + 1e9 as a", "1e9 - id * 0.002D as b", "1e15D as same")
+    found = {(r["left_column"], r["right_column"]): r["r"] for r in correlation_pairs(df, ["a", "b", "same"]).collect()}
+    assert found["a", "b"] == pytest.approx(-1.0, abs=1e-6) and found["a", "same"] is None
+
+
+def test_correlation_of_forty_columns_reads_twice(spark):
+    """One scan finds the centres, one the sums of all 780 pairs."""
+    df = spark.range(200).selectExpr(*[f"cast((id * {k + 3}) % 101 as double) as c{k}" for k in range(40)])
+    matrix = statistics.correlation_matrix(df, df.columns)
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1
+    assert matrix.count() == 1600
+
+
 def test_trend(spark):
     data = [
         (datetime(2024, 3, 1), 200.0, 0.0, 5), (datetime(2024, 1, 1), 100.0, 0.0, None),
@@ -127,6 +169,18 @@ def test_trend(spark):
     assert found == {"revenue": (100.0, 200.0, 100.0), "zero": (0.0, 3.0, 0.0), "gaps": (4.0, 5.0, 25.0)}
 
 
+def test_nothing_is_cut_off(spark):
+    df = spark.createDataFrame(
+        [(datetime(2024, 1, 1 + k), *[f"{k % 3}"] * 6, *[float(k + j) for j in range(9)]) for k in range(6)],
+        "d timestamp_ntz, " + ", ".join(f"t{k} string" for k in range(6)) + ", "
+        + ", ".join(f"m{k} double" for k in range(9)),
+    )
+    texts, measures = [f"t{k}" for k in range(6)], [f"m{k}" for k in range(9)]
+    assert statistics.trend_change(df, "d", measures, []).count() == 9
+    assert {r["column"] for r in statistics.value_counts(df, texts).collect()} == set(texts)
+    assert charts.correlation_heatmap(df).count() == 81
+
+
 def test_trend_ties_are_decided(spark):
     data = [(datetime(2024, 1, 1), k, float(k)) for k in range(5)]
     df = spark.createDataFrame(data, "d timestamp_ntz, k int, v double").repartition(5)
@@ -158,6 +212,8 @@ def test_grouped_summary(spark):
     assert [(r["group"], r["total"], r["count"], r["rank"]) for r in found.orderBy("rank", "group").collect()] == [
         ("n", 14.0, 3, 1), ("e", 11.0, 2, 2), ("s", 11.0, 3, 2), ("w", 0.0, 0, 3),
     ]
+    wide = spark.createDataFrame([(str(k), "ab"[k % 2], 1.5 * k) for k in range(30)], "name string, g string, v double")
+    assert sorted(r["group"] for r in statistics.grouped_summary(wide, auto=True).collect()) == ["a", "b"]
     single = statistics.grouped_summary(spark.createDataFrame([("a", 1.0)], "g string, v double"), "g", "v").first()
     assert single["std_dev"] is None
 
@@ -168,7 +224,7 @@ def test_run_analyses(spark):
     results, log = statistics.run_analyses(df, ["descriptive_stats", "correlation_analysis", "magic"], found)
     assert list(results) == ["descriptive_stats"]
     assert rows(log) == [
-        ("correlation_analysis", "skipped", "Fewer than 2 numeric columns."),
+        ("correlation_analysis", "skipped", "needs 2 measure column(s), 1 found"),
         ("descriptive_stats", "done", None), ("magic", "unsupported", None),
     ]
     with pytest.raises(ValueError):
