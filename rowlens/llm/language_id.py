@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import extended, in_batches
+from rowlens.llm.tables import extended, in_batches, numbered_columns
 
 #: n-grams in a profile, of a language and of a text.
 PROFILE = 400
@@ -176,9 +176,8 @@ def identify(
     """
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = others.index(text)
-    schema = extended(
-        docs.select(*[F.col(f"`{c}`") for c in others]).schema, "lang_pred string, score double"
-    )
+    plain = numbered_columns(docs.select(*[F.col(f"`{c}`") for c in others]))
+    schema = extended(plain.schema, "lang_pred string, score double")
     judge = Judge(profiles, size)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +191,11 @@ def identify(
                 schema.names,
             )
 
-    return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(work, schema)
+    return plain.mapInArrow(work, schema).toDF(*others, "lang_pred", "score")
 
 
 #: Below this score a text is like none of the languages; for :func:`keep_identified`.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.1
 
 
 def keep_identified(
@@ -208,7 +207,7 @@ def keep_identified(
     labelled row there is nothing to judge by and only the former go.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = numbered_columns(docs)
     profiles = learn_profiles(learn_from)
     body = f"c{names.index(text)}"
     found = identify(plain, profiles, text=body)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowlens.llm.tables import numbered_columns
 from rowlens.llm.words import word_spans
 
 #: Words of a block.
@@ -229,7 +230,7 @@ def mixed_texts(
     hash takes the first plan row.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = numbered_columns(docs)
     key, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
     plan = plan_mix(plain, key, body, f"c{names.index(source)}", **options).where(F.col("taken") > 0)
     plan = plan.withColumn(

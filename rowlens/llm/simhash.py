@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.components import connected_components
-from rowlens.llm.tables import extended
+from rowlens.llm.tables import extended, numbered_columns
 from rowlens.session import stage_table
 
 BITS = 64
@@ -78,12 +78,12 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS
                 (text_fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts)
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(values.view(np.int64))], [*others, "fingerprint"]
+                [*batch.columns[:-1], pa.array(values.view(np.int64))], schema.names
             )
 
-    plain = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("text"))
-    schema = extended(plain.drop("text").schema, "fingerprint long")
-    return plain.mapInArrow(work, schema)
+    plain = numbered_columns(docs.select(*[F.col(f"`{c}`") for c in [*others, text]]))
+    schema = extended(plain.drop(plain.columns[-1]).schema, "fingerprint long")
+    return plain.mapInArrow(work, schema).toDF(*others, "fingerprint")
 
 
 class BKTree:
@@ -259,7 +259,7 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     other columns, so a rerun keeps the same). Rows without an id cannot be told apart and all stay.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = numbered_columns(docs)
     own, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
     found = near_duplicates(plain, own, body).where(F.col(own) == F.col("component_id"))
     heads = found.select(F.col(own).alias("head")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowlens.llm.tables import extended, in_batches, shuffle_partitions
+from rowlens.llm.tables import extended, in_batches, numbered_columns, shuffle_partitions
 from rowlens.llm.words import sequence_hashes, text_blocks, word_counts, word_hashes, word_spans
 from rowlens.session import stage_table
 
@@ -316,7 +316,7 @@ def remove_repeats(
     is returned.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = numbered_columns(docs)
     key, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
     others = [c for c in plain.columns if c != body]
     out = [n for n in names if n != text] + ["n_words", "n_removed", "kept_sha256" if digest else text]

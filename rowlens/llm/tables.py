@@ -32,5 +32,10 @@ def extended(schema: StructType, more: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(more).fields)
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The same table with columns ``c0``, ``c1``, ...: names can neither clash nor hold dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def in_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(max_chunksize=OUT_ROWS)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import extended
+from rowlens.llm.tables import extended, numbered_columns
 from rowlens.llm.words import text_blocks
 from rowlens.session import stage_table
 
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("score", "predicted")]
     at = others.index(text)
-    plain = docs.select(*[F.col(f"`{c}`") for c in others])
+    plain = numbered_columns(docs.select(*[F.col(f"`{c}`") for c in others]))
     schema = extended(plain.schema, "score double, predicted int")
     features, number = max(1, len(model.classes)), _feature_number(model.classes)
 
@@ -273,4 +273,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], schema.names
             )
 
-    return plain.mapInArrow(work, schema)
+    return plain.mapInArrow(work, schema).toDF(*others, "score", "predicted")
