@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from rowlens.catalog import QUERIES  # noqa: E402
-from rowlens.session import build_session  # noqa: E402
+from rowlens.session import build_session, clear_scratch  # noqa: E402
 
 HEADLINE = (
     "load_csv", "validation_report", "duplicate_rows", "clean", "drop_duplicates",
@@ -46,7 +46,9 @@ def main() -> None:
     def run(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - start, 3)
+        seconds = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
+        return seconds
 
     run("shape")
     seconds = {}

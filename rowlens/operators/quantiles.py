@@ -42,6 +42,9 @@ class _Bracket:
     low: float | None = None
     high: float | None = None
     value: float | None = None
+    # Ends that are known to enclose both ranks.
+    least: float | None = None
+    most: float | None = None
 
     @property
     def ranks(self) -> tuple[int, int]:
@@ -171,7 +174,7 @@ def _narrow(df: DataFrame, pending: list[_Bracket]) -> list[_Bracket]:
         end = before + row["inside"]
         after = end + (row["at_high"] if b.low < b.high else 0)
         if first < row["below"] or second >= after:
-            missed.append((b, first < row["below"], second >= after))
+            missed.append((b, row["below"], after))
         elif second < before or first >= end:
             b.value = b.low if second < before else b.high
         elif not row["inside"]:
@@ -181,15 +184,27 @@ def _narrow(df: DataFrame, pending: list[_Bracket]) -> list[_Bracket]:
     return _widen(df, missed) + _look_inside(df, undecided)
 
 
-def _widen(df: DataFrame, missed: list[tuple[_Bracket, bool, bool]]) -> list[_Bracket]:
-    """Where the sketch was off, open the side the rank lies on up to the column's extreme."""
+def _widen(df: DataFrame, missed: list[tuple[_Bracket, int, int]]) -> list[_Bracket]:
+    """Where the sketch was off, go on between the end that was missed and the proven one beyond it.
+
+    ``missed`` holds how many values lie below a bracket and how many up to its end. What is left is
+    part of the bracket proven before, and smaller, so the search comes to an end. Ends not proven yet
+    are the extremes of the column.
+    """
+    unknown = [b for b, _, _ in missed if b.least is None]
     extremes = [
-        [F.min(column(b.name)).alias("least"), F.max(column(b.name)).alias("most")]
-        for b, _, _ in missed
+        [F.min(column(b.name)).alias("least"), F.max(column(b.name)).alias("most")] for b in unknown
     ]
-    for (b, too_high, too_low), row in zip(missed, _counts(df, extremes)):
-        b.low = row["least"] if too_high else b.low
-        b.high = row["most"] if too_low else b.high
+    for b, row in zip(unknown, _counts(df, extremes) if unknown else ()):
+        b.least, b.most = row["least"], row["most"]
+    for b, below, end in missed:
+        first, second = b.ranks
+        low, high = b.low, b.high
+        if first < below:
+            low, high = b.least, b.low if second < below else high
+        if second >= end:
+            low, high = b.high if first >= end else low, b.most
+        b.low, b.high = b.least, b.most = low, high
     return [b for b, _, _ in missed]
 
 
@@ -212,6 +227,7 @@ def _look_inside(df: DataFrame, undecided: list[tuple[_Bracket, int, int]]) -> l
         if size <= EXACT_VALUES:
             b.value = b.interpolated(b.low if on_low else at_first, b.high if on_high else at_second)
         else:
+            b.least, b.most = b.low, b.high
             b.low, b.high = b.low if on_low else low, b.high if on_high else high
             open_brackets.append(b)
     return open_brackets

@@ -61,9 +61,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rowlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/rowlens/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the application's part of the shared folder."""
+    return f"{_scratch_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables this application has staged; results that still read them fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str = "staged") -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from conftest import rows
 
-from rowlens.session import scratch_path, shared_folder, stage_table
+from rowlens.session import clear_scratch, scratch_path, shared_folder, stage_table
 from rowlens.sources.dates import parse_date, parse_date_columns
 from rowlens.sources.sinks import write_cleaned, write_results
 from rowlens.sources.tables import LoadError, infer_types, load_csv, load_parquet
@@ -120,6 +120,16 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.parquet(paths["kinds"]).groupBy("run_id").count()) == [("r1", 2), ("r2", 2)]
 
 
+def test_scratch_is_cleared(spark):
+    import os
+
+    staged = stage_table(spark.range(10), "gone")
+    place = staged.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(place)
+    clear_scratch(spark)
+    assert not os.path.exists(place)
+
+
 def test_staged_table_lies_in_the_shared_folder(spark):
     folder = shared_folder(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
