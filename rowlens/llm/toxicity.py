@@ -29,7 +29,7 @@ CLASS_BITS = 19
 #: Classes that the model has a weight for.
 FEATURES = 1500
 #: Expected number of toxic and of unlabelled texts in training.
-POSITIVE_ROWS, UNLABELLED_ROWS = 8000, 16_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 5000, 10_000
 #: Tasks over which the samples are spread; each sends its counts to the driver once.
 SAMPLE_TASKS = 8
 EPOCHS, BATCH, STEP, DECAY = 40, 1024, 0.005, 1e-3
@@ -136,10 +136,10 @@ def choose_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
         )
 
     totals, counts = np.zeros(2), np.zeros((2, 1 << CLASS_BITS))
-    # One row per task of the sample.
+    # One row per task of the sample, which has a fixed number of tasks.
     for row in sample.select("positive", "unlabelled", "text").mapInArrow(
         work, "totals binary, counts binary"
-    ).toLocalIterator():
+    ).toArrow().to_pylist():
         totals += np.frombuffer(row["totals"], np.int64)
         counts += np.frombuffer(row["counts"], np.uint32).reshape(2, -1)
     if not totals.all():
