@@ -71,12 +71,12 @@ QUERIES = [
         _TYPED.format(odate=_PARSED),
     ),
     Query(
-        "null_tokens", "o_orderkey:s status:s price:s urgent:s",
+        "null_tokens", "o_orderkey:s status:s price:s urgent:s odate:s update_note:s",
         lambda t: null_tokens(_raw(t)).toDF(
             "o_orderkey", "status", "price", "urgent", "odate", "update_note"
         ),
         f"""SELECT " o_orderkey " AS o_orderkey, {_MISSING.format(c='status')} AS status,
-            {_MISSING.format(c='"price "')} AS price, urgent FROM ({DUCK_RAW})""",
+            {_MISSING.format(c='"price "')} AS price, urgent, odate, update_note FROM ({DUCK_RAW})""",
     ),
     Query(
         "infer_types", "o_orderkey:i status:s price:2 urgent:b odate:s",
@@ -84,8 +84,10 @@ QUERIES = [
         _TYPED.format(odate="odate"),
     ),
     Query(
-        "trim_headers", "o_orderkey:s price:s", lambda t: trim_headers(_raw(t)),
-        f'SELECT " o_orderkey " AS o_orderkey, "price " AS price FROM ({DUCK_RAW})',
+        "trim_headers", "o_orderkey:s status:s price:s urgent:s odate:s update_note:s",
+        lambda t: trim_headers(_raw(t)),
+        f"""SELECT " o_orderkey " AS o_orderkey, status, "price " AS price, urgent, odate, update_note
+            FROM ({DUCK_RAW})""",
     ),
     Query(
         "parse_date_columns", "o_orderkey:s odate:s update_note:s",
