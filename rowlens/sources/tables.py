@@ -14,7 +14,7 @@ from rowlens.functions.numbers import (
 )
 from rowlens.operators.cleaning import trim_headers
 from rowlens.operators.roles import text_names
-from rowlens.session import column, stage_table
+from rowlens.session import column, run_together, stage_table
 from rowlens.sources.dates import parse_date_columns
 
 COLUMNS_PER_AGGREGATE = 20
@@ -98,12 +98,12 @@ def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -
     )
 
 
-def _check_rows(spark: SparkSession, path: str, encoding: str, multiline: bool, names: list[str]) -> None:
+def _check_rows(spark: SparkSession, path: str, multiline: bool, names: list[str]) -> None:
     """Refuse a file whose rows have more fields than the header; rows with fewer end in nulls."""
     record = "__record"
     schema = ", ".join(f"`c{k}` string" for k in range(len(names))) + f", {record} string"
     rows = (
-        spark.read.schema(schema).option("header", True).option("encoding", encoding)
+        spark.read.schema(schema).option("header", True)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
         .option("columnPruning", False).option("enforceSchema", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
@@ -150,15 +150,20 @@ def load_csv(
         raise LoadError(f"no such file: {path}") from error
     if not raw.columns:
         raise LoadError(NO_DATA)
-    text, encoding = null_tokens(raw), "UTF-8"
-    facts = _text_facts(text)
+    text = null_tokens(raw)
+    done = run_together(
+        spark,
+        {
+            "facts": lambda: _text_facts(text),
+            "rows": lambda: _check_rows(spark, path, multiline, raw.columns),
+        },
+    )
+    facts = done["facts"]
     if any(f["undecoded"] for f in facts.values()) or any(REPLACEMENT in n for n in raw.columns):
-        encoding = "ISO-8859-1"
-        text = null_tokens(_read_text(spark, path, encoding, multiline))
+        text = null_tokens(_read_text(spark, path, "ISO-8859-1", multiline))
         facts = _text_facts(text)
     if not next(iter(facts.values()))["n_rows"]:
         raise LoadError(NO_DATA)
-    _check_rows(spark, path, encoding, multiline, text.columns)
     typed = _typed(text, {n: _type_from(f) for n, f in facts.items()})
     table = parse_date_columns(trim_headers(typed))
     return stage_table(table, "loaded") if stage else table

@@ -214,3 +214,20 @@ def test_plan_without_categories():
     plan = propose_plan(TableFacts(5, Roles(numeric=["v"])))
     assert plan.analyses == ("descriptive_stats", "outlier_detection")
     assert [c.chart_type for c in plan.charts] == ["histogram"]
+
+
+def test_repeated_rounds_count_once(spark):
+    rounds = [("r", 0, False, ["b"]), ("r", 0, False, ["a", "b"]), ("r", 0, None, None), ("r", 1, False, ["a", "b"]),
+              ("r", 1, False, ["b", "a"]), ("s", 0, False, ["a"]), ("s", 0, True, [])]
+    df = spark.createDataFrame(rounds, "run string, round int, approved boolean, missing array<string>")
+    assert rows(review.review_decision(df), "run", "round", "decision", "missing") == [
+        ("r", 0, "needs revision", "a,b"), ("r", 1, "repeated feedback", None), ("s", 0, "approved", None),
+    ]
+
+
+def test_whole_run_groups_by_the_planned_category(spark):
+    data = [(f"text {k}", "ab"[k % 2], 1.5 * k) for k in range(30)]
+    run = analyze(spark.createDataFrame(data, "text string, lang string, size double"))
+    assert run.plan.group_by == "lang"
+    assert sorted(r["group"] for r in run.results["grouped_summary_analysis"].collect()) == ["a", "b"]
+    assert any("Lang" in r["text"] for r in run.insights.collect())
