@@ -1,5 +1,6 @@
 import random
 
+from awkward_tables import awkward, awkward_docs, empty_docs  # noqa: F401
 from rowlens.llm import quality
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from awkward_tables import awkward, prose  # noqa: F401
 from test_packing import library_ids
 from test_simhash import plain_components, plain_fingerprint
 from test_substrings import plain_kept
@@ -17,8 +18,6 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="module")
 def raw(awkward):
-    from conftest import prose
-
     passage = prose("shared", 60)
     rows = [(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in awkward]
     for k in range(100, 150):

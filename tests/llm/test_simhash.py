@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
+from awkward_tables import awkward, awkward_docs, empty_docs  # noqa: F401
 
 from rowlens.llm import simhash
 from rowlens.llm.components import connected_components

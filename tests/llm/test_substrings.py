@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from awkward_tables import awkward, awkward_docs, empty_docs  # noqa: F401
 
 from rowlens.llm import substrings
 

@@ -1,8 +1,8 @@
 import random
 
 import numpy as np
-from conftest import WORDS
 from pyspark.sql import functions as F
+from awkward_tables import WORDS, awkward, awkward_docs, empty_docs  # noqa: F401
 
 from rowlens.llm import toxicity
 
