@@ -3,8 +3,8 @@
 The byte-level vocabulary used here splits a text before every blank that stands between two other
 characters and around every line break between two other characters, whatever follows. So the distinct
 words of a block of texts are encoded, those met before are remembered, and the ids are put together by
-array operations. Texts with any other white space are encoded whole by the library. Both ways give the
-same ids.
+array operations. Texts with any other white space, or with an added token of the vocabulary such as
+``<|endoftext|>``, are encoded whole by the library. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added_tokens = [token.content for token in added if token.content]
         self.after_blank, self.at_start = Remembered(), Remembered()
         self.line_break = int(np.frombuffer(self._ids("\n"), "<u4")[0])
 
@@ -139,7 +140,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
-        plain = [k for k, text in enumerate(texts) if _splits_plainly(text)]
+        plain = [
+            k for k, text in enumerate(texts)
+            if _splits_plainly(text) and not any(token in text for token in self.added_tokens)
+        ]
         out: list[bytes] = [b""] * len(texts)
         if plain:
             for k, ids in zip(plain, self._encode_plain([texts[k] for k in plain])):
