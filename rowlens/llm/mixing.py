@@ -25,6 +25,8 @@ from rowlens.llm.words import word_spans
 BLOCK_WORDS = 32
 #: Documents of a shard, on average.
 SHARD_DOCS = 20_000
+#: Copies of one row numbered together.
+COPIES_AT_ONCE = 4096
 #: Weights of the sources in code point order, repeated as often as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Total of the mix as a share of all words.
@@ -144,14 +146,26 @@ def plan_mix(
     is taken twice, so ``taken`` is at most ``most_passes`` times the size. Sources follow the code
     point order, null last; their weights repeat. Null and empty texts have size 0 and nothing taken.
     Rows with equal ids are rows of their own; equal in text, they are interchangeable. The choice
-    depends on ids, sizes and the seed only, so reruns agree.
+    depends on ids, texts and the seed only, so reruns agree.
 
-    To the driver come one row per source. A shard has ``shard_docs`` rows on average, so a source with
-    a third of all rows becomes many shards.
+    To the driver come one row per source. A shard has ``shard_docs`` rows on average, also where many
+    rows have one id or none and where they are equal in all: these are counted, and the copies dealt out.
     """
+    return _planned(docs, id_column, text, source, weights, share, most_passes, block, shard_docs, seed).drop(
+        "own_source", "text_hash", "copy"
+    )
+
+
+def _planned(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE, most_passes: int = MOST_PASSES,
+    block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED,
+) -> DataFrame:
+    """``plan_mix`` with ``own_source``, ``text_hash`` and ``copy``, which counts equal rows from 0."""
+    body = F.col(f"`{text}`")
     sized = docs.select(
         F.col(f"`{id_column}`").alias("own_id"), F.col(f"`{source}`").cast("string").alias("own_source"),
-        word_count(F.col(f"`{text}`")).alias("size"),
+        word_count(body).alias("size"), F.xxhash64(body).alias("text_hash"),
     )
     # One number per source.
     totals = sized.groupBy("own_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
@@ -169,9 +183,18 @@ def plan_mix(
         [(name, *values) for name, values in by_source.items()],
         "plan_source string, source_size long, target double, seats long, shards int",
     )
+    # The copies are numbered in steps, so that no list of numbers grows with them.
+    step = F.col("step") * COPIES_AT_ONCE
+    copies = (
+        sized.groupBy("own_source", "own_id", "size", "text_hash").agg(F.count("*").alias("rows"))
+        .withColumn("step", F.explode(F.expr(f"sequence(0L, (rows - 1) div {COPIES_AT_ONCE})")))
+        .withColumn("copy", F.explode(F.sequence(step, F.least(step + COPIES_AT_ONCE, "rows") - 1)))
+        .drop("rows", "step")
+    )
+    own = ["own_id", "size", "text_hash", "copy"]
     placed = (
-        sized.join(F.broadcast(plan), F.col("own_source").eqNullSafe(F.col("plan_source")))
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "own_id"), F.col("shards")).cast("int"))
+        copies.join(F.broadcast(plan), F.col("own_source").eqNullSafe(F.col("plan_source")))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *own), F.col("shards")).cast("int"))
         .drop("plan_source", "shards")
     )
     shards = placed.groupBy("own_source", "shard", "seats").agg(F.sum("size").alias("words"))
@@ -187,18 +210,22 @@ def plan_mix(
     )
     id_type = sized.schema["own_id"].dataType.simpleString()
     schema = (
-        f"own_id {id_type}, size long, source_size long, target double, taken long, "
-        "parts array<struct<pass:int,first:long,end:long>>"
+        f"own_source string, own_id {id_type}, size long, text_hash long, copy long, source_size long, "
+        "target double, taken long, parts array<struct<pass:int,first:long,end:long>>"
     )
 
-    def choose(rows: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "own_id", "size"], kind="stable").reset_index(drop=True)
+    # Arrow keeps the ids as they are; in pandas a null beside them would turn integers into floats.
+    part_type = pa.list_(pa.struct([("pass", pa.int32()), ("first", pa.int64()), ("end", pa.int64())]))
+
+    def choose(rows: pa.Table, quota: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(name, "ascending") for name in ["order", *own]])
         sizes = rows["size"].to_numpy().astype(np.int64)
-        name = rows["own_source"].iloc[0] if len(rows) else None
-        shard = int(rows["shard"].iloc[0]) if len(rows) else 0
-        own = np.frombuffer((name or "").encode() + b"\0", np.uint8)
+        name = rows["own_source"][0].as_py() if len(rows) else None
+        shard = rows["shard"][0].as_py() if len(rows) else 0
+        wanted = sum(quota["quota"].to_pylist())
+        letters = np.frombuffer((name or "").encode() + b"\0", np.uint8)
         passes = taken_parts(
-            sizes, int(quota["quota"].sum()), block, most_passes, [seed, shard, len(own), *own.tolist()]
+            sizes, wanted, block, most_passes, [seed, shard, len(letters), *letters.tolist()]
         )
         taken = np.zeros(len(rows), np.int64)
         parts: list[list] = [[] for _ in range(len(rows))]
@@ -207,15 +234,16 @@ def plan_mix(
             np.add.at(taken, doc, high - low)
             for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist()):
                 parts[d].append({"pass": number, "first": a, "end": b})
-        return rows[["own_id", "size", "source_size", "target"]].assign(taken=taken, parts=parts)
+        rows = rows.select(["own_source", *own, "source_size", "target"])
+        return rows.append_column("taken", pa.array(taken)).append_column("parts", pa.array(parts, part_type))
 
     # A null source is a key of its own kind; the hash marks keep both sides apart from the text "".
     mark = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))
-    left = placed.withColumn("order", F.xxhash64(F.lit(seed + 1), "own_id")).withColumn("mark", mark("own_source"))
+    left = placed.withColumn("order", F.xxhash64(F.lit(seed + 1), *own)).withColumn("mark", mark("own_source"))
     right = quota.withColumn("mark", mark("quota_source"))
     return (
         left.groupBy("mark", "shard").cogroup(right.groupBy("mark", "quota_shard"))
-        .applyInPandas(choose, schema)
+        .applyInArrow(choose, schema)
     )
 
 
@@ -226,23 +254,24 @@ def mixed_texts(
     but for the text, which holds the words taken.
 
     A document taken whole keeps its text as it is; ranges cut out of it are joined by a blank. Rows of
-    one id are told apart by their size only: of several such rows the first in order of size and text
-    hash takes the first plan row.
+    one id and source are told apart by size and text hash; those equal in both are interchangeable.
     """
     names = docs.columns
     plain = numbered_columns(docs)
     key, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
-    plan = plan_mix(plain, key, body, f"c{names.index(source)}", **options).where(F.col("taken") > 0)
-    plan = plan.withColumn(
-        "copy", F.row_number().over(Window.partitionBy("own_id", "size").orderBy("taken", F.to_json("parts")))
-    ).withColumnRenamed("size", "own_size").select("own_id", "own_size", "copy", "parts")
-    sized = plain.withColumn("size", word_count(F.col(body))).where(F.col("size") > 0)
-    sized = sized.withColumn(
-        "number", F.row_number().over(Window.partitionBy(key, "size").orderBy(F.xxhash64(body), body))
+    label = f"c{names.index(source)}"
+    plan = _planned(plain, key, body, label, **options).where(F.col("taken") > 0).select(
+        "own_source", "own_id", F.col("size").alias("own_size"), F.col("text_hash").alias("own_hash"),
+        "copy", "parts",
     )
+    sized = plain.withColumn("size", word_count(F.col(body))).where(F.col("size") > 0)
+    sized = sized.withColumn("text_hash", F.xxhash64(body)).withColumn("label", F.col(label).cast("string"))
+    alike = Window.partitionBy("label", key, "size", "text_hash").orderBy(body)
+    sized = sized.withColumn("number", (F.row_number().over(alike) - 1).cast("long"))
     joined = sized.join(
         plan,
-        F.col(key).eqNullSafe(F.col("own_id")) & (F.col("size") == F.col("own_size"))
+        F.col(key).eqNullSafe(F.col("own_id")) & F.col("label").eqNullSafe(F.col("own_source"))
+        & (F.col("size") == F.col("own_size")) & (F.col("text_hash") == F.col("own_hash"))
         & (F.col("number") == F.col("copy")),
     ).select(*plain.columns, "parts")
     at = plain.columns.index(body)
