@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.tables import numbered_columns
 from rowlens.llm.words import word_spans
+from rowlens.session import small_table
 
 #: Words of a block.
 BLOCK_WORDS = 32
@@ -148,7 +149,10 @@ def plan_mix(
     Rows with equal ids are rows of their own; equal in text, they are interchangeable. The choice
     depends on ids, texts and the seed only, so reruns agree.
 
-    To the driver come one row per source. A shard has ``shard_docs`` rows on average, also where many
+    To the driver come one row per source (name and two sums), as seats are shared among all sources. So
+    sources have to be as few as the driver holds: meant for up to some 200 000 (10 s of one core), not
+    for a column of hosts or URLs, whose values grow with the table. Way back they are an ordinary join,
+    broadcast only where measured as small. A shard has ``shard_docs`` rows on average, also where many
     rows have one id or none and where they are equal in all: these are counted, and the copies dealt out.
     """
     return _planned(docs, id_column, text, source, weights, share, most_passes, block, shard_docs, seed).drop(
@@ -179,8 +183,8 @@ def _planned(
         for k, r in enumerate(totals)
     }
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(name, *values) for name, values in by_source.items()],
+    plan = small_table(
+        spark, [(name, *values) for name, values in by_source.items()],
         "plan_source string, source_size long, target double, seats long, shards int",
     )
     # The copies are numbered in steps, so that no list of numbers grows with them.
@@ -193,7 +197,7 @@ def _planned(
     )
     own = ["own_id", "size", "text_hash", "copy"]
     placed = (
-        copies.join(F.broadcast(plan), F.col("own_source").eqNullSafe(F.col("plan_source")))
+        copies.join(plan, F.col("own_source").eqNullSafe(F.col("plan_source")))
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *own), F.col("shards")).cast("int"))
         .drop("plan_source", "shards")
     )

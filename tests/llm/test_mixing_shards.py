@@ -50,3 +50,14 @@ def test_large_ids_beside_rows_without_id(spark):
     ids = [2**60 + 1 + k for k in range(60)] + [None] * 20
     docs = spark.createDataFrame([(own, "some words here", "a") for own in ids], "doc_id long, text string, source string")
     assert Counter(r.own_id for r in mixing.plan_mix(docs).collect()) == Counter(ids)
+
+
+def test_sources_are_not_broadcast_by_force(spark, hot_ids):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        shown = mixing.plan_mix(hot_ids[1])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "Join" in shown and "Broadcast" not in shown
