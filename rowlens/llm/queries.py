@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.llm import (
+    chat,
+    chat_repair,
     language_id,
     mixing,
     nearest,
@@ -83,6 +85,35 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(docs, digest=True)
 
 
+#: What conversation -7 says, twice: all that the template has to escape.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def _chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    chats = chat.format_chats(said.unionByName(more)).select(
+        "*", chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("segments")).alias("learned"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid", "broken_at",
+    )
+
+
+def _chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    hurt = chat_repair.damaged_turns(read_table(spark, folder, "conversations"))
+    return chat_repair.repair_chats(hurt).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _language_id,
     "op2_source_mixing": _mixing,
@@ -94,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": _token_files,
     "op9_url_filter": _url_filter,
     "op10_simhash_bk_trees": _simhash,
+    "op11_chat_format": _chat_format,
+    "op13_chat_repair": _chat_repair,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -187,8 +220,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+_CHAT_SQL = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, n, ['user', 'assistant'][n + 1], '{CONTROL_TEXT}' FROM range(2) AS numbers(n)
+),
+placed AS (
+    SELECT *, row_number() OVER turns - 1 AS place,
+        coalesce(lag(role) OVER turns, 'start') AS before
+    FROM said WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+judged AS (
+    SELECT *, (before || ' ' || role) IN (
+            'start system', 'start user', 'system user', 'user assistant', 'assistant user'
+        ) AS follows,
+        replace(replace(replace(replace(replace(replace(text, '\\', '\\a'), '### Assistant:', '\\b'),
+            '### System:', '\\c'), '### User:', '\\d'), '</turn>', '\\e'), '### (', '\\f') AS body,
+        CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) + 6
+            ELSE 8 + length(replace(replace(replace(replace(replace(replace(replace(role, '\\', '\\a'),
+                '### Assistant:', '\\b'), '### System:', '\\c'), '### User:', '\\d'), '</turn>', '\\e'),
+                '### (', '\\f'), '):', '\\g')) END AS opening
+    FROM placed
+),
+whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS lines,
+        coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learned,
+        CAST(sum(opening + length(body) + 8) AS BIGINT) AS formatted_chars,
+        min(place) FILTER (NOT follows) AS refused, arg_max(role, place) AS last_role
+    FROM judged GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+    sha256(learned) AS loss_sha256, formatted_chars, refused IS NULL AND last_role = 'assistant' AS valid,
+    CASE WHEN refused IS NOT NULL OR last_role <> 'assistant' THEN coalesce(refused, n_turns) END AS broken_at
+FROM whole
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_quality": _QUALITY_SQL,
     "op9_url_filter": _URL_SQL,
     "op7_substring_dedup": _SUBSTRINGS_SQL,
+    "op11_chat_format": _CHAT_SQL,
 }
