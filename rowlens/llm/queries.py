@@ -14,6 +14,7 @@ from rowlens.llm import (
     mixing,
     nearest,
     packing,
+    phrases,
     quality,
     simhash,
     substrings,
@@ -109,6 +110,10 @@ def _chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(read_table(spark, folder, "documents"))
+
+
 def _chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     hurt = chat_repair.damaged_turns(read_table(spark, folder, "conversations"))
     return chat_repair.repair_chats(hurt).withColumnRenamed("conv", "conv_id")
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": _url_filter,
     "op10_simhash_bk_trees": _simhash,
     "op11_chat_format": _chat_format,
+    "op12_phrase_tiles": _phrases,
     "op13_chat_repair": _chat_repair,
 }
 
@@ -256,9 +262,51 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(learned) AS
 FROM whole
 """
 
+_PHRASE_SQL = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM spoken GROUP BY lang),
+sized AS (SELECT lang, words, unnest(range(1, least(4, len(words)) + 1)) AS size FROM spoken),
+places AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS start FROM sized),
+counted AS (
+    SELECT lang, size, words[start:start + size - 1] AS part, count(*) AS n FROM places GROUP BY ALL
+),
+candidates AS (SELECT * FROM counted WHERE size > 1 AND n >= {least}),
+cuts AS (
+    SELECT c.lang, c.part, c.n AS a, k, f.n AS l, r.n AS r,
+        (2000000::HUGEINT * c.n) // (f.n::HUGEINT + r.n) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+    JOIN counted f ON f.lang = c.lang AND f.part = c.part[1:k]
+    JOIN counted r ON r.lang = c.lang AND r.part = c.part[k + 1:]
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, part ORDER BY score, k) = 1),
+inner_parts AS (
+    SELECT lang, n, size, part, own, unnest(range(1, size - own + 2)) AS start
+    FROM (SELECT *, unnest(range(2, size)) AS own FROM candidates)
+),
+around AS (
+    SELECT lang, part[start:start + own - 1] AS part, max(n) AS most FROM inner_parts GROUP BY ALL
+),
+left_over AS (
+    SELECT w.*, array_to_string(w.part, ' ') AS phrase FROM weakest w LEFT JOIN around USING (lang, part)
+    WHERE most IS NULL OR 100 * most < {inside} * a
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM placed JOIN totals USING (lang) WHERE rank <= {top}
+""".format(least=phrases.LEAST, inside=phrases.MOST_INSIDE, top=phrases.TOP)
+
 ORACLES: dict[str, str] = {
     "op4_line_quality": _QUALITY_SQL,
     "op9_url_filter": _URL_SQL,
     "op7_substring_dedup": _SUBSTRINGS_SQL,
     "op11_chat_format": _CHAT_SQL,
+    "op12_phrase_tiles": _PHRASE_SQL,
 }
