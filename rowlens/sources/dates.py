@@ -5,89 +5,207 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowlens.functions.control import let
 from rowlens.operators.roles import text_names
 from rowlens.session import column
 
 # Name parts that mark a possible date column.
 DATE_HINTS = ("date", "time", "day", "month", "year", "dt", "timestamp", "period", "quarter")
-# Written forms besides ISO dates and times, and how to read them. Where day and
-# month could be either, the month comes first.
-_MONTH, _DAY, _YEAR = r"(0?[1-9]|1[0-2])", r"\d{1,2}", r"\d{4}"
-_CLOCK = r"\d{1,2}:\d{2}"
-DATE_FORMS = (
-    (f"{_YEAR}/{_DAY}/{_DAY}", "yyyy/M/d"),
-    (f"{_MONTH}/{_DAY}/{_YEAR}", "M/d/yyyy"),
-    (f"{_DAY}/{_MONTH}/{_YEAR}", "d/M/yyyy"),
-    (f"{_MONTH}-{_DAY}-{_YEAR}", "M-d-yyyy"),
-    (f"{_DAY}-{_MONTH}-{_YEAR}", "d-M-yyyy"),
-    (rf"{_DAY} [A-Z][a-z]{{2}} {_YEAR}", "d MMM yyyy"),
-    (rf"{_DAY} [A-Z][a-z]{{3,}} {_YEAR}", "d MMMM yyyy"),
-    (rf"[A-Z][a-z]{{2}} {_DAY}, {_YEAR}", "MMM d, yyyy"),
-    (rf"[A-Z][a-z]{{3,}} {_DAY}, {_YEAR}", "MMMM d, yyyy"),
-    (rf"{_YEAR}/{_DAY}/{_DAY} {_CLOCK}:\d{{2}}", "yyyy/M/d H:mm:ss"),
-    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}:\d{{2}}", "M/d/yyyy H:mm:ss"),
-    (rf"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}:\d{{2}}", "d/M/yyyy H:mm:ss"),
-    (rf"[A-Z][a-z]{{2}} {_DAY} {_YEAR}", "MMM d yyyy"),
-    (rf"[A-Z][a-z]{{3,}} {_DAY} {_YEAR}", "MMMM d yyyy"),
-    (rf"[A-Z][a-z]{{2}} {_YEAR}", "MMM yyyy"),
-    (rf"[A-Z][a-z]{{3,}} {_YEAR}", "MMMM yyyy"),
-    (rf"{_DAY}-[A-Z][a-z]{{2}}-{_YEAR}", "d-MMM-yyyy"),
-    (rf"{_MONTH}/{_DAY}/\d{{2}}", "M/d/yy"),
-    (rf"{_DAY}/{_MONTH}/\d{{2}}", "d/M/yy"),
-    (rf"{_YEAR}\.{_DAY}\.{_DAY}", "yyyy.M.d"),
-    (rf"{_DAY}\.{_MONTH}\.{_YEAR}", "d.M.yyyy"),
-    (r"(19|20)\d{6}", "yyyyMMdd"),
-    (rf"{_MONTH}/{_YEAR}", "M/yyyy"),
-    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK} [AP]M", "M/d/yyyy h:mm a"),
-    (rf"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}:\d{{2}} [AP]M", "M/d/yyyy h:mm:ss a"),
-    (f"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}", "M/d/yyyy H:mm"),
-    (f"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}", "d/M/yyyy H:mm"),
+# Names of months and days.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+    "november", "december",
 )
-# Two-digit years from 69 on belong to the last century.
-SHORT_YEAR_BEFORE_2000 = r"/(69|[7-9]\d)$"
-QUARTER = rf"^({_YEAR})-?Q([1-4])$"
+SHORT_MONTHS = {name[:3]: k for k, name in enumerate(MONTHS, 1)} | {"sept": 9}
+WEEKDAY = r"^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
+# A clock after the day: hours, minutes, seconds with a fraction, and the half of the day; or digits only.
+CLOCK = r"[ t]+(\d{1,2}):(\d{2})(?::(\d{2}(?:[.,]\d{1,6})?)\d*)? ?([ap]m)?$"
+DIGIT_CLOCK = r"(?<=^\d{8})t?(\d{2})(\d{2})(\d{2})$"
+# Two or three parts with marks between them.
+DAY_SHAPE = r"^[a-z0-9]+([-/.]|,? )[a-z0-9]+(([-/.]|,? )[a-z0-9]+)?$"
+DAY_MARKS = r"[-/., ]+"
+DIGIT_DAY = r"^(19|20)\d{6}$"
+QUARTER = r"^(\d{4})-?q([1-4])$"
+# Two-digit years from here on belong to the last century.
+SHORT_YEAR_BEFORE_2000 = 69
 PARSED_SHARE = 0.8
 
 
-def parse_date(text: Column) -> Column:
+def _number(part: Column, pattern: str) -> Column:
+    return F.when(part.rlike(pattern), part.try_cast("int"))
+
+
+def _month(part: Column) -> Column:
+    named = {name: k for k, name in enumerate(MONTHS, 1)} | SHORT_MONTHS
+    months = F.create_map(*[F.lit(v) for pair in named.items() for v in pair])
+    return F.try_element_at(months, part)
+
+
+def _year(part: Column) -> Column:
+    """Four digits, or two."""
+    short = _number(part, r"^\d{2}$")
+    century = F.when(short >= SHORT_YEAR_BEFORE_2000, 1900).otherwise(2000)
+    return F.coalesce(_number(part, r"^\d{4}$"), short + century)
+
+
+def _small(part: Column) -> Column:
+    """One or two digits."""
+    return _number(part, r"^\d{1,2}$")
+
+
+def _plain_numbers(parts: Column) -> Column:
+    """Whether the day is written as two small numbers and a year."""
+    first, second, third = (F.get(parts, k) for k in range(3))
+    return (F.size(parts) == 3) & first.rlike(r"^\d{1,2}$") & second.rlike(r"^\d{1,2}$") & third.rlike(r"^(\d{2}|\d{4})$")
+
+
+def _of_parts(parts: Column, day_first: bool) -> Column:
+    """(year, month, day) of a day written in two or three parts; nulls if it is none."""
+    first, second, third = (F.get(parts, k) for k in range(3))
+    a, b = _small(first), _small(second)
+    # A number above 12 can only be the day.
+    swapped = (a > 12) if not day_first else (b <= 12)
+    day, month = F.when(swapped, a).otherwise(b), F.when(swapped, b).otherwise(a)
+
+    def written(year: Column, month: Column, day: Column) -> Column:
+        return F.struct(year.alias("year"), month.alias("month"), day.alias("day"))
+
+    named_first, named_second = _month(first), _month(second)
+    three = (
+        F.when(_plain_numbers(parts), written(_year(third), month, day))
+        .when(first.rlike(r"^\d{4}$"), written(_year(first), F.coalesce(b, named_second), _small(third)))
+        .when(named_second.isNotNull(), written(_year(third), named_second, a))
+        .when(named_first.isNotNull(), written(_year(third), named_first, b))
+    )
+    year_last = _number(second, r"^\d{4}$")
+    two = F.when(
+        year_last.isNotNull(), written(year_last, F.coalesce(a, named_first), F.lit(1))
+    ).when(first.rlike(r"^\d{4}$"), written(_year(first), F.coalesce(b, named_second), F.lit(1)))
+    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 2, two)
+
+
+def _day_text(lowered: Column) -> Column:
+    """The text without its clock, weekday and the endings of numbers."""
+    day = F.regexp_replace(lowered, f"{CLOCK}|{DIGIT_CLOCK}", "")
+    return F.regexp_replace(F.regexp_replace(day, WEEKDAY, ""), r"(?<=\d)(st|nd|rd|th)(?=[ ,])", "")
+
+
+def _day_parts(day: Column) -> Column:
+    return F.when(day.rlike(DAY_SHAPE), F.split(day, DAY_MARKS))
+
+
+def _time_of(lowered: Column, day: Column) -> Column:
+    """Hour, minute and second; midnight without a clock, null where the clock is wrong."""
+    def clock(k: int) -> Column:
+        return F.nullif(F.regexp_extract(lowered, CLOCK, k), F.lit(""))
+
+    half = clock(4)
+    hour = clock(1).try_cast("int")
+    hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    seconds = F.coalesce(F.replace(clock(3), F.lit(","), F.lit(".")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+
+    def whole(hour: Column, minute: Column, second: Column) -> Column:
+        return F.struct(hour.alias("hour"), minute.alias("minute"), second.cast("decimal(16,6)").alias("second"))
+
+    digits = [F.regexp_extract(lowered, DIGIT_CLOCK, k).try_cast("int") for k in (1, 2, 3)]
+    return (
+        F.when(lowered == day, whole(F.lit(0), F.lit(0), F.lit(0)))
+        .when(clock(1).isNotNull(), whole(hour, clock(2).try_cast("int"), seconds))
+        .when(lowered.rlike(DIGIT_CLOCK), whole(*digits))
+        .otherwise(whole(F.lit(0), F.lit(0), F.lit(0)))
+    )
+
+
+def _written_time(lowered: Column, day_first: bool) -> Column:
+    """A day in any known spelling, perhaps with a clock."""
+    def of_day(day: Column) -> Column:
+        digits = F.struct(
+            *[F.substring(day, first, size).try_cast("int").alias(name)
+              for name, first, size in (("year", 1, 4), ("month", 5, 2), ("day", 7, 2))]
+        )
+        start = F.struct(
+            F.regexp_extract(day, QUARTER, 1).try_cast("int").alias("year"),
+            (F.regexp_extract(day, QUARTER, 2).try_cast("int") * 3 - 2).alias("month"), F.lit(1).alias("day"),
+        )
+        found = (
+            F.when(day.rlike(DIGIT_DAY), digits).when(day.rlike(QUARTER), start)
+            .otherwise(let(_day_parts(day), lambda parts: _of_parts(parts, day_first)))
+        )
+        return let(
+            F.struct(found.alias("d"), _time_of(lowered, day).alias("t")),
+            lambda at: F.try_make_timestamp_ntz(
+                at["d"]["year"], at["d"]["month"], at["d"]["day"], at["t"]["hour"], at["t"]["minute"], at["t"]["second"]
+            ),
+        )
+
+    return let(_day_text(lowered), of_day)
+
+
+def parse_date(text: Column, day_first: bool = False) -> Column:
     """Text to a time without zone, null if no known form fits.
 
-    A pattern picks the one format to try, since a format that does not fit is slow to find out.
+    ISO dates and times are read as such. Else the clock is taken off, and the rest has to be a day: numbers or
+    month names in two or three parts, eight digits, or a quarter. Where day and month could be either,
+    ``day_first`` decides.
     """
     trimmed = F.trim(text)
-    written = F.lit(None).cast("timestamp_ntz")
-    for pattern, form in reversed(DATE_FORMS):
-        parsed = F.try_to_timestamp(trimmed, F.lit(form)).cast("timestamp_ntz")
-        written = F.when(trimmed.rlike(f"^{pattern}$"), parsed).otherwise(written)
-    earlier = trimmed.rlike(SHORT_YEAR_BEFORE_2000) & ~trimmed.rlike(r"\d{4}")
-    written = F.when(earlier, written - F.expr("INTERVAL '100' YEAR")).otherwise(written)
-    year, quarter = (F.regexp_extract(trimmed, QUARTER, i).cast("int") for i in (1, 2))
-    start = F.make_date(year, quarter * 3 - 2, F.lit(1)).cast("timestamp_ntz")
-    written = F.when(trimmed.rlike(QUARTER), start).otherwise(written)
-    return F.coalesce(trimmed.try_cast("timestamp_ntz"), F.when(trimmed.rlike("[0-9]{2}"), written))
+    readable = trimmed.rlike("[0-9]{2}") & (F.length(trimmed) <= 64)
+    written = F.when(readable, let(F.lower(trimmed), lambda lowered: _written_time(lowered, day_first)))
+    return F.coalesce(trimmed.try_cast("timestamp_ntz"), written)
+
+
+def date_evidence(text: Column) -> Column:
+    """What the values of a column tell about their form, as counts that add up over any split of the rows.
+
+    ``n`` values, ``parsed`` of them dates; in ``day_leads`` of them the first number is above 12 and so
+    the day, in ``month_leads`` the second one.
+    """
+    def order(parts: Column) -> Column:
+        a, b = _small(F.get(parts, 0)), _small(F.get(parts, 1))
+        return F.when(
+            _plain_numbers(parts),
+            F.when((a > 12) & (b <= 12), "day").when((b > 12) & (a <= 12), "month"),
+        )
+
+    trimmed = F.lower(F.trim(text))
+    short = trimmed.rlike(r"^[a-z, ]*\d{1,2}[-/., ]+\d{1,2}[-/., ]+\d{2}") & (F.length(trimmed) <= 64)
+    leads = F.when(short, let(_day_parts(_day_text(trimmed)), order))
+    return F.struct(
+        F.count(text).alias("n"), F.count(parse_date(text)).alias("parsed"),
+        F.count_if(leads == "day").alias("day_leads"), F.count_if(leads == "month").alias("month_leads"),
+    )
+
+
+def day_comes_first(evidence) -> bool | None:
+    """None if the column is not one of dates, else whether ambiguous values begin with the day.
+
+    Values that can only begin with the day settle it, unless others can only begin with the month.
+    """
+    if not evidence["n"] or evidence["parsed"] / evidence["n"] < PARSED_SHARE:
+        return None
+    return evidence["day_leads"] > 0 and evidence["month_leads"] == 0
 
 
 def date_candidates(df: DataFrame) -> list[str]:
     return [n for n in text_names(df) if any(hint in n.lower() for hint in DATE_HINTS)]
 
 
-def parse_date_columns(df: DataFrame) -> DataFrame:
+def parse_date_columns(df: DataFrame, evidence: dict | None = None) -> DataFrame:
     """Text columns named like a date become dates where at least 80 % of the values parse.
 
-    One aggregate decides for all candidates.
+    One aggregate decides for all candidates, and for each column as a whole whether the day or the month
+    comes first. ``evidence`` (``date_evidence`` by column) may be given where it is known already.
     """
     names = date_candidates(df)
     if not names:
         return df
-    counts = df.agg(
+    if evidence is None:
+        row = df.agg(*[date_evidence(column(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
+        evidence = dict(zip(names, row))
+    order = {n: day_comes_first(evidence[n]) for n in names}
+    return df.select(
         *[
-            F.struct(
-                F.count(column(n)).alias("n"), F.count(parse_date(column(n))).alias("parsed")
-            ).alias(f"c{i}")
-            for i, n in enumerate(names)
+            (parse_date(column(n), order[n]) if order.get(n) is not None else column(n)).alias(n)
+            for n in df.columns
         ]
-    ).first()
-    dates = {n for n, c in zip(names, counts) if c["n"] and c["parsed"] / c["n"] >= PARSED_SHARE}
-    return df.select(
-        *[(parse_date(column(n)) if n in dates else column(n)).alias(n) for n in df.columns]
     )

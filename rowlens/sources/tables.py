@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.functions.numbers import (
@@ -14,8 +14,9 @@ from rowlens.functions.numbers import (
 )
 from rowlens.operators.cleaning import trim_headers
 from rowlens.operators.roles import text_names
-from rowlens.session import column, run_together, stage_table
-from rowlens.sources.dates import parse_date_columns
+from rowlens.session import column, quoted, stage_table
+from rowlens.sources.dates import DATE_HINTS, date_candidates, date_evidence, parse_date_columns
+from rowlens.sources.records import Borders, csv_records, find_borders, record_text, text_lines
 
 COLUMNS_PER_AGGREGATE = 20
 # What Spark writes for bytes that are not valid UTF-8.
@@ -38,12 +39,22 @@ def null_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def _text_facts(df: DataFrame) -> dict[str, Row]:
-    """Per text column: values, how many fit each type, how many hold undecodable bytes."""
-    names, facts = text_names(df), {}
-    for start in range(0, len(names), COLUMNS_PER_AGGREGATE):
+def _text_facts(
+    df: DataFrame, names: list[str], more: dict[str, Column] | None = None, pruned: DataFrame | None = None
+) -> tuple[dict[str, Row], Row | None]:
+    """Per text column: values, how many fit each type, how many hold undecodable bytes, and what the
+    values tell about dates where the name hints at one. One scan for every 20 columns.
+
+    ``more`` are further aggregates of the first scan, which is the only one that reads ``df`` if there is
+    a ``pruned`` table with the same columns.
+    """
+    facts, found = {}, None
+    for start in range(0, max(len(names), 1), COLUMNS_PER_AGGREGATE):
         chunk = names[start : start + COLUMNS_PER_AGGREGATE]
-        row = df.agg(
+        own = [F.struct(*[c.alias(n) for n, c in more.items()]).alias("more")] if more and not start else []
+        hinted = [n for n in chunk if any(hint in n.lower() for hint in DATE_HINTS)]
+        row = (df if pruned is None or not start else pruned).agg(
+            *own,
             *[
                 F.struct(
                     F.count("*").alias("n_rows"),
@@ -54,12 +65,15 @@ def _text_facts(df: DataFrame) -> dict[str, Row]:
                     F.count_if(is_number(column(n))).alias("double"),
                     F.count_if(column(n).isin(*BOOLEAN_TEXTS)).alias("boolean"),
                     F.count_if(column(n).contains(REPLACEMENT)).alias("undecoded"),
+                    (date_evidence(column(n)) if n in hinted else F.lit(None)).alias("dates"),
                 ).alias(f"c{i}")
                 for i, n in enumerate(chunk)
-            ]
+            ],
         ).first()
-        facts.update(zip(chunk, row))
-    return facts
+        if own:
+            found = row["more"]
+        facts.update({n: row[f"c{i}"] for i, n in enumerate(chunk)})
+    return facts, found
 
 
 def _type_from(facts: Row) -> str:
@@ -84,7 +98,8 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns become bigint, double or boolean if all their values fit."""
-    return _typed(df, {n: _type_from(f) for n, f in _text_facts(df).items()})
+    facts, _ = _text_facts(df, text_names(df))
+    return _typed(df, {n: _type_from(f) for n, f in facts.items()})
 
 
 def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
@@ -98,34 +113,35 @@ def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -
     )
 
 
-def _check_rows(spark: SparkSession, path: str, multiline: bool, names: list[str]) -> None:
-    """Refuse a file whose rows have more fields than the header; rows with fewer end in nulls."""
-    record = "__record"
-    schema = ", ".join(f"`c{k}` string" for k in range(len(names))) + f", {record} string"
-    rows = (
-        spark.read.schema(schema).option("header", True)
-        .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-        .option("columnPruning", False).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
+RECORD = "__record"
+_FORM = {"quote": '"', "escape": '"'}
+
+
+def _plain_table(spark: SparkSession, path: str, names: list[str], encoding: str, multiline: bool, checked: bool) -> DataFrame:
+    """All columns as text by Spark's reader; ``checked`` adds the record of rows of another width."""
+    schema = ", ".join(f"{quoted(n)} string" for n in names) + (f", {RECORD} string" if checked else "")
+    return (
+        spark.read.schema(schema).options(**_FORM, header=True, encoding=encoding, multiLine=multiline)
+        # A row's width shows only if the whole row is parsed.
+        .options(columnPruning=not checked, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
+        .csv(path)
     )
-    plain = F.regexp_replace(F.col(record), '"(?:[^"]|"")*"', "")
-    wide = F.regexp_count(plain, F.lit(",")) >= len(names)
-    found = rows.agg(
-        # Counting a field too makes Spark parse whole rows.
-        F.count("c0"), F.count_if(wide).alias("n"), F.min(F.when(wide, F.substring(F.col(record), 1, 200))).alias("one")
-    ).first()
-    if found["n"]:
-        raise LoadError(
-            f"{found['n']} row(s) of {path} have more fields than the {len(names)} of the header, "
-            f"for example: {found['one']}"
-        )
 
 
-def _breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a line ends inside quotes: then its quotes do not pair up."""
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.translate(line, '"', ""))
-    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+def _broken_table(lines: DataFrame, borders: Borders, names: list[str], encoding: str) -> DataFrame:
+    """The same from records that may hold line breaks, with the record of rows of another width."""
+    text = csv_records(lines, borders).select(record_text(F.col("record"), encoding).alias("record"))
+    schema = ", ".join(f"{quoted(n)} string" for n in [*names, RECORD])
+    form = {**_FORM, "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD}
+    return text.where(F.trim("record") != "").select(F.from_csv("record", schema, form).alias("row")).select("row.*")
+
+
+def _wide_rows(names: list[str]) -> dict[str, Column]:
+    """How many rows have more fields than the header, and one of them; rows with fewer end in nulls."""
+    record = column(RECORD)
+    plain = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    wide = record.isNotNull() & (F.regexp_count(plain, F.lit(",")) >= len(names))
+    return {"n": F.count_if(wide), "one": F.min(F.when(wide, F.substring(record, 1, 200)))}
 
 
 def load_csv(
@@ -133,39 +149,54 @@ def load_csv(
 ) -> DataFrame:
     """A CSV file, or a folder of them, as a typed table.
 
-    All columns are read as text, then missing-value spellings, types, header blanks and date
-    columns are settled. Bytes that are not UTF-8 make the file read as Latin-1. Nothing is lost
-    silently: rows with more fields than the header are an error that shows one of them, and line
-    breaks inside quotes are looked for first and read as part of the value, at the price of one task
-    per file. ``multiline`` says beforehand whether there are such breaks. ``stage`` writes the typed
-    table once as Parquet to the shared folder, which pays off before a run with many passes.
+    One scan counts quotes, one settles types, missing-value spellings, dates and the width of all rows,
+    and the result reads the text a third time. Files are read by byte ranges throughout, also where line
+    breaks stand inside quotes; only files that have these and lone carriage returns as well are read in one
+    task each. Bytes that are not UTF-8 make the file read as Latin-1. Nothing is lost silently: rows
+    with more fields than the header are an error that shows one of them. ``multiline`` False says that
+    no value holds a line break, which saves the first scan. ``stage`` writes the typed table once as
+    Parquet to the shared folder, which pays off before a run with many passes.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise LoadError(f"not a .csv file or folder: {path}")
     try:
-        if multiline is None:
-            multiline = _breaks_inside_quotes(spark, path)
-        raw = _read_text(spark, path, "UTF-8", multiline)
+        lines = text_lines(spark, path)
+        borders = Borders() if multiline is False else find_borders(lines)
+        names = _read_text(spark, path, "UTF-8", borders.broken).columns
     except AnalysisException as error:
         raise LoadError(f"no such file: {path}") from error
-    if not raw.columns:
+    if not names:
         raise LoadError(NO_DATA)
-    text = null_tokens(raw)
-    done = run_together(
-        spark,
-        {
-            "facts": lambda: _text_facts(text),
-            "rows": lambda: _check_rows(spark, path, multiline, raw.columns),
-        },
-    )
-    facts = done["facts"]
-    if any(f["undecoded"] for f in facts.values()) or any(REPLACEMENT in n for n in raw.columns):
-        text = null_tokens(_read_text(spark, path, "ISO-8859-1", multiline))
-        facts = _text_facts(text)
+    by_ranges = borders.broken and not borders.lone_returns
+
+    def read(encoding: str, checked: bool) -> DataFrame:
+        if by_ranges:
+            return _broken_table(lines, borders, names, encoding)
+        return _plain_table(spark, path, names, encoding, borders.broken, checked)
+
+    def facts_of(encoding: str) -> tuple[dict[str, Row], Row | None]:
+        return _text_facts(
+            null_tokens(read(encoding, True)), names, _wide_rows(names),
+            None if by_ranges else null_tokens(read(encoding, False)),
+        )
+
+    encoding = "UTF-8"
+    facts, wide = facts_of(encoding)
+    if any(f["undecoded"] for f in facts.values()) or any(REPLACEMENT in n for n in names):
+        encoding = "ISO-8859-1"
+        names = _read_text(spark, path, encoding, borders.broken).columns
+        facts, wide = facts_of(encoding)
+    if wide["n"]:
+        raise LoadError(
+            f"{wide['n']} row(s) of {path} have more fields than the {len(names)} of the header, "
+            f"for example: {wide['one']}"
+        )
     if not next(iter(facts.values()))["n_rows"]:
         raise LoadError(NO_DATA)
-    typed = _typed(text, {n: _type_from(f) for n, f in facts.items()})
-    table = parse_date_columns(trim_headers(typed))
+    text = null_tokens(read(encoding, False)).select(*[column(n) for n in names])
+    typed = trim_headers(_typed(text, {n: _type_from(f) for n, f in facts.items()}))
+    dates = dict(zip(typed.columns, (facts[n]["dates"] for n in names)))
+    table = parse_date_columns(typed, {n: dates[n] for n in date_candidates(typed)})
     return stage_table(table, "loaded") if stage else table
 
 

@@ -100,6 +100,35 @@ def test_date_forms(spark):
     assert {r[0]: r[1] for r in df.select("t", parse_date(df.t)).collect()} == texts
 
 
+def test_further_spellings(spark):
+    day = datetime(2024, 1, 15)
+    texts = {
+        "15-Jan-24": day, "JAN 2024": datetime(2024, 1, 1), "jan 15, 2024": day, "Mon, 15 Jan 2024": day,
+        "Monday, January 15, 2024": day, "15/01/2024 3:30 PM": day.replace(hour=15, minute=30), "01-15-24": day,
+        "15 Jan 2024 10:30": day.replace(hour=10, minute=30), "Jan 15, 2024 12:05 AM": day.replace(minute=5),
+        "20240115T103000": day.replace(hour=10, minute=30), "2024-01-15 10:30 AM": day.replace(hour=10, minute=30),
+        "1/15/2024 15:04:05.123": datetime(2024, 1, 15, 15, 4, 5, 123000), "Sept 5, 2024": datetime(2024, 9, 5),
+        "2024-Jan-15": day, "Jan 15th, 2024": day, "1/15/2024 13:00 PM": None, "1/15/2024 25:00": None,
+        "12.5": None, "1,234": None, "x" * 100 + " 2024": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", parse_date(df.t)).collect()} == texts
+
+
+@pytest.mark.parametrize(("values", "second"), [
+    (["25/01/2024", "03/04/2024"], datetime(2024, 4, 3)), (["01/25/2024", "03/04/2024"], datetime(2024, 3, 4)),
+    (["03.04.24 10:00", "03/04/2024", "Tue, 25-01-2024"], datetime(2024, 4, 3)),
+    (["25/01/2024", "03/04/2024", "01/25/2024"], datetime(2024, 3, 4)), (["x", "03/04/2024"] * 5, None),
+])
+def test_one_order_of_day_and_month_in_a_column(spark, tmp_path, values, second):
+    """Values that can only be read one way settle the others, in a table and in a file."""
+    df = spark.createDataFrame([(v,) for v in values], "day string").repartition(3)
+    path = put(tmp_path, "".join(f"\"{v}\"\n" for v in ["day", *values]))
+    for found in (parse_date_columns(df), load_csv(spark, path)):
+        got = {r["day"] for r in found.collect()}
+        assert (second in got) if second else got == {"x", "03/04/2024"}
+
+
 def test_four_fifths_of_the_values_must_be_dates(spark):
     good = [("2024-01-05", "2024-01-05", "2024-01-05")] * 8
     data = good + [("x", "x", None), ("y", "2024-01-06", None), ("2024-01-07", "2024-01-07", "z")]
