@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowlens.functions.numbers import finite_or_null, sanitized
 from rowlens.functions.statistics import percent, sample_skewness
-from rowlens.operators.counts import distinct_counts, most_frequent, value_frequencies
+from rowlens.operators.counts import distinct_counts, frequent_and_totals, most_frequent
 from rowlens.operators.quantiles import column_quantiles, numeric_value
 from rowlens.operators.roles import Roles, find_roles
 from rowlens.session import column, pin, run_together, small_table
@@ -139,7 +139,7 @@ def top_values(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     The limit per column is applied before the shuffle as well as after it, so a column with very
     many values does not gather in one task.
     """
-    return most_frequent(df, names, value_frequencies(df, names), k)
+    return most_frequent(df, names, k)
 
 
 def mode_values(df: DataFrame, names: list[str]) -> DataFrame:
@@ -154,11 +154,12 @@ def categorical_profile(
     names = find_roles(df).categorical if names is None else names
     if not names:
         return small_table(df.sparkSession, [], CATEGORICAL_SCHEMA)
-    frequencies = value_frequencies(df, names)
-    distinct = frequencies.groupBy("place").agg(F.count("*").alias("unique_values"))
+    done = run_together(
+        df.sparkSession, {"top": lambda: frequent_and_totals(df, names, k), "rows": df.count}
+    )
+    frequent, totals = done["top"]
     top = (
-        most_frequent(df, names, frequencies, k)
-        .groupBy("column")
+        frequent.groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
         .select(
             "column",
@@ -167,18 +168,20 @@ def categorical_profile(
             ).alias("top_values"),
         )
     )
-    cells = per_column(
-        df,
-        names,
-        lambda n: [F.count("*").alias("n_rows"), F.count(column(n)).alias("n_values")],
-        4 * MEASURES_PER_AGGREGATE,
+    cells = small_table(
+        df.sparkSession,
+        [
+            (i, n, done["rows"], totals[n]["n"] if n in totals else 0,
+             totals[n]["distinct"] if n in totals else None)
+            for i, n in enumerate(names)
+        ],
+        "position int, column string, n_rows bigint, n_values bigint, unique_values bigint",
     )
     ratio = F.round(F.try_divide(F.col("unique_values"), F.col("n_values")), 4)
     missing = F.col("n_rows") - F.col("n_values")
     filled = F.col("n_values") > 0
     return (
-        cells.join(distinct, F.col("position") == F.col("place"), "left")
-        .join(top, "column", "left")
+        cells.join(top, "column", "left")
         .select(
             "position",
             "column",
