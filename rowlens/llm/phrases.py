@@ -34,10 +34,10 @@ LEAST, MOST_INSIDE = 30, 80
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Words of a block (more only if a piece without any break is longer), and bytes split at once.
-BLOCK_WORDS = 2 << 20
-CHUNK_BYTES = 2 << 20
+BLOCK_WORDS = 1 << 20
+CHUNK_BYTES = 1 << 20
 #: Pairs that one slice gets on average.
-SLICE_PAIRS = 2 << 20
+SLICE_PAIRS = 1 << 20
 #: Ids along the side of a tile; tiles of the first ``HEAD_TILES`` rows and columns may be dense.
 TILE = 1024
 HEAD_TILES = 4
