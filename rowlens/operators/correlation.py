@@ -1,67 +1,159 @@
-"""Correlations of all column pairs in two scans, however many columns there are."""
+"""Correlations of all column pairs by centred moments that are merged, in one scan.
+
+A few columns go through Spark's own aggregates, which keep means and centred sums and merge
+them pairwise. Many columns go through matrix products: each task centres by its first batch, keeps sums of
+a tile of pairs, and hands centred moments on that are merged in the same way. Tables wider than a
+tile are read tile by tile, only the columns of that tile, so no task holds the moments of all pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.operators.quantiles import numeric_value
-
-# A variance below this share of the squared distance to the centre is rounding, not variation.
-ROUNDING = 1e-12
-_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "unbounded")
+from rowlens.session import small_table
+
+# Up to so many columns, pairs are rows of Spark's aggregate; above, matrix products are cheaper.
+NATIVE_COLUMNS = 12
+# Columns along the side of a tile of pairs.
+TILE = 256
+# Moments of all tasks are merged by this many groups before the last merge.
+MERGE_GROUPS = 256
+# A centred sum below this share of the sum it is taken from is rounding, not variation; likewise a
+# distance of means below this share of a mean.
+ROUNDING, LAST_DIGITS = 1e-12, 4e-15
+_MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy", "unbounded")
+
+
+def _native_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(left_pos, right_pos, r) by one aggregate over rows of pairs."""
+    pairs = combinations_with_replacement(range(len(names)), 2)
+    values = df.select(*[numeric_value(n).alias(f"c{i}") for i, n in enumerate(names)])
+    rows = values.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("left_pos"), F.lit(j).alias("right_pos"),
+                        F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"),
+                    )
+                    for i, j in pairs
+                ]
+            )
+        )
+    )
+    # ``corr`` itself fails for columns without variation, and rounding can look like some.
+    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("left_pos", "right_pos").agg(
+        F.when(varies & ~F.isnan(r), r).alias("r")
+    )
 
 
-def _centres(df: DataFrame, names: list[str]) -> np.ndarray:
-    """Mean of the finite values of each column; only a shift that keeps the sums below exact."""
-    finite = [F.when(F.abs(numeric_value(n)) < float("inf"), numeric_value(n)) for n in names]
-    row = df.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(finite)]).first()
-    return np.array([0.0 if v is None else v for v in row])
+def _centred(squares: np.ndarray, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Centred squares, without what is only rounding."""
+    value = squares - sums * sums / count
+    return np.where(value > ROUNDING * squares, value, 0.0)
 
 
-def pair_moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """Sums over the complete rows of every pair (left_pos <= right_pos), one row per task and pair.
+def pair_moments(df: DataFrame, names: list[str], left: range, right: range) -> DataFrame:
+    """Centred moments over the complete rows of the pairs of a tile, one row per task and pair.
 
-    A task works on its batches with matrix products and sends one set of sums, so what is shuffled
-    depends on the number of pairs and tasks only.
+    ``n`` rows with means ``mx`` and ``my`` and centred sums; ``unbounded`` of them hold an infinite value.
     """
-    centres = _centres(df, names)
-    width = len(names)
+    wanted = list(dict.fromkeys([*left, *right]))
+    at = {position: k for k, position in enumerate(wanted)}
+    rows_at, columns_at = [at[i] for i in left], [at[j] for j in right]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, firsts, squares, products, infinite = (np.zeros((width, width)) for _ in range(5))
+        shift, sums = None, [np.zeros((len(left), len(right))) for _ in range(7)]
         for batch in batches:
             values = np.column_stack(
                 [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
             )
-            there = ~np.isnan(values)
-            endless = np.isinf(values)
-            shifted = np.where(there & ~endless, values - centres, 0.0)
-            known = there.astype(np.float64)
-            counts += known.T @ known
-            firsts += shifted.T @ known
-            squares += (shifted * shifted).T @ known
-            products += shifted.T @ shifted
-            infinite += endless.T.astype(np.float64) @ known
-        left, right = np.triu_indices(width)
-        sums = (
-            counts[left, right], firsts[left, right], firsts[right, left], squares[left, right],
-            squares[right, left], products[left, right], infinite[left, right] + infinite[right, left],
+            there, endless = ~np.isnan(values), np.isinf(values)
+            fine = there & ~endless
+            if shift is None:
+                found = fine.sum(axis=0)
+                shift = np.where(fine, values, 0.0).sum(axis=0) / np.maximum(found, 1)
+            shifted = np.where(fine, values - shift, 0.0)
+            known, odd = fine.astype(np.float64), endless.astype(np.float64)
+            x, y, kx, ky = shifted[:, rows_at], shifted[:, columns_at], known[:, rows_at], known[:, columns_at]
+            parts = (kx.T @ ky, x.T @ ky, kx.T @ y, (x * x).T @ ky, kx.T @ (y * y), x.T @ y)
+            for total, part in zip(sums, parts):
+                total += part
+            present = there.astype(np.float64)
+            sums[6] += odd[:, rows_at].T @ present[:, columns_at] + known[:, rows_at].T @ odd[:, columns_at]
+        if shift is None:
+            return
+        n, sx, sy, sxx, syy, sxy, unbounded = sums
+        count = np.maximum(n, 1)
+        moments = (
+            n, shift[rows_at][:, None] + sx / count, shift[columns_at][None, :] + sy / count,
+            _centred(sxx, sx, count), _centred(syy, sy, count), sxy - sx * sy / count, unbounded,
         )
+        i, j = np.meshgrid(np.array(left, np.int32), np.array(right, np.int32), indexing="ij")
+        once = i <= j
+        part = np.full(int(once.sum()), TaskContext.get().partitionId() % MERGE_GROUPS, np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *map(pa.array, sums)],
-            ["left_pos", "right_pos", *_SUMS],
+            [pa.array(part), pa.array(i[once]), pa.array(j[once]), *[pa.array(m[once]) for m in moments]],
+            ["part", "left_pos", "right_pos", *_MOMENTS],
         )
 
-    schema = "left_pos int, right_pos int, " + ", ".join(f"{s} double" for s in _SUMS)
-    plain = df.select(*[numeric_value(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    schema = "part int, left_pos int, right_pos int, " + ", ".join(f"{s} double" for s in _MOMENTS)
+    plain = df.select(*[numeric_value(names[i]).alias(f"c{i}") for i in wanted])
     return plain.mapInArrow(work, schema)
 
 
+def _merged(states: Column) -> Column:
+    """The moments of all states together, by the pairwise update."""
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        dx, dy, weight = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * share
+
+        def total(name: str, more: Column) -> Column:
+            return (a[name] + b[name] + more * weight).alias(name)
+
+        return F.struct(
+            n.alias("n"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"),
+            total("cxx", dx * dx), total("cyy", dy * dy), total("cxy", dx * dy),
+            (a["unbounded"] + b["unbounded"]).alias("unbounded"),
+        )
+
+    zero = F.struct(*[F.lit(0.0).alias(m) for m in _MOMENTS])
+    return F.aggregate(states, zero, merge).alias("moments")
+
+
+def _tiled_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(left_pos, right_pos, r) by matrix products, tile by tile."""
+    edges = [range(a, min(a + TILE, len(names))) for a in range(0, len(names), TILE)]
+    moments = None
+    for k, left in enumerate(edges):
+        for right in edges[k:]:
+            part = pair_moments(df, names, left, right)
+            moments = part if moments is None else moments.unionAll(part)
+    keys = ["left_pos", "right_pos"]
+    by_group = moments.groupBy(*keys, "part").agg(_merged(F.collect_list(F.struct(*_MOMENTS))))
+    whole = by_group.groupBy(*keys).agg(_merged(F.collect_list("moments"))).select(*keys, "moments.*")
+
+    def root(square: str, mean: str) -> Column:
+        # Means of equal values differ in their last digits from task to task.
+        noise = F.col("n") * F.pow(F.col(mean) * LAST_DIGITS, F.lit(2))
+        return F.when(F.col(square) > noise, F.sqrt(square)).otherwise(0.0)
+
+    spread = root("cxx", "mx") * root("cyy", "my")
+    r = F.when((F.col("unbounded") == 0) & (spread > 0), F.col("cxy") / spread)
+    return whole.select(*keys, r.alias("r"))
+
+
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(left_pos, right_pos, left_column, right_column, r) for each unordered pair and each column
     with itself.
@@ -71,23 +163,17 @@ def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """
     if len(names) < 2:
         raise ValueError("correlations need two columns")
-    sums = pair_moments(df, names).groupBy("left_pos", "right_pos").agg(
-        *[F.sum(s).alias(s) for s in _SUMS]
-    )
-
-    def spread(first: str, square: str):
-        value = F.col(square) - F.try_divide(F.col(first) * F.col(first), F.col("n"))
-        return F.when(value > ROUNDING * F.col(square), value)
-
-    shared = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    r = F.try_divide(shared, F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
     named = F.array(*[F.lit(n) for n in names])
-    return sums.select(
+    every = small_table(df.sparkSession, [(i,) for i in range(len(names))], "left_pos int").select(
+        "left_pos", F.explode(F.sequence("left_pos", F.lit(len(names) - 1))).alias("right_pos")
+    )
+    found = (_native_pairs if len(names) <= NATIVE_COLUMNS else _tiled_pairs)(df, names)
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
+    return every.join(found, ["left_pos", "right_pos"], "left").select(
         "left_pos", "right_pos",
         F.get(named, F.col("left_pos")).alias("left_column"),
         F.get(named, F.col("right_pos")).alias("right_column"),
-        F.when((F.col("unbounded") == 0) & r.isNotNull(),
+        F.when(F.col("r").isNotNull(),
                F.when(F.col("left_pos") == F.col("right_pos"), F.lit(1.0)).otherwise(bounded)).alias("r"),
     )
 

@@ -87,3 +87,29 @@ def test_any_column(spark, values, probability):
     found = quantiles.exact_quantiles(df, ["x"], [probability])["x"][0]
     wanted = frame["x"].dropna().quantile(probability)
     assert (found is None and np.isnan(wanted)) or found == pytest.approx(wanted, rel=1e-9, abs=1e-9)
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_scans_do_not_grow_with_columns_and_probabilities(spark, tmp_path):
+    """A round counts and sketches all columns and probabilities together."""
+    rng = np.random.default_rng(5)
+    values = rng.random((20_000, 40))
+    names = [f"c{k}" for k in range(40)]
+    path = str(tmp_path / "wide")
+    spark.createDataFrame(pd.DataFrame(values, columns=names)).write.parquet(path)
+    df = spark.read.parquet(path)
+    probabilities = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    found = {}
+    few = jobs_of(spark, "few", lambda: quantiles.exact_quantiles(df, ["c0"], [0.5]))
+    many = jobs_of(spark, "many", lambda: found.update(quantiles.exact_quantiles(df, names, probabilities)))
+    assert 0 < many <= 2 * few
+    for k in (0, 17, 39):
+        assert found[f"c{k}"] == pytest.approx(list(np.quantile(values[:, k], probabilities)), rel=1e-12)
