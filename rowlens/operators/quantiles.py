@@ -21,7 +21,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.session import column, small_table, stage_table
+from rowlens.session import column, quoted, run_together, small_table, stage_table
 
 # Sketch size; ranks are off by less than SLACK of the sketched values, nearly always.
 SKETCH_SIZE = 4096
@@ -71,50 +71,91 @@ def numeric_value(name: str) -> Column:
     return F.nanvl(column(name).cast("double"), F.lit(None).cast("double"))
 
 
-def _class_of(value: Column, edges: list[float]) -> Column:
-    """2k if the value lies below edge k (and above the one before), 2k + 1 if it is edge k.
+def _double(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value}')"
 
-    A tree of comparisons, as deep as the logarithm of the number of edges.
+
+def _class_of(name: str, edges: list[float], leaf=str) -> str:
+    """SQL for 2k if the value lies below edge k (and above the one before), 2k + 1 if it is edge k.
+
+    A tree of comparisons, as deep as the logarithm of the number of edges; ``leaf`` may put something else
+    in the place of a class. Built as text, which is parsed much faster than nodes are made one by one.
     """
-    def between(low: int, high: int) -> Column:
+    def between(low: int, high: int) -> str:
         if low == high:
-            return F.lit(2 * low)
+            return leaf(2 * low)
         middle = (low + high) // 2
-        edge = F.lit(edges[middle])
+        edge = _double(edges[middle])
         return (
-            F.when(value < edge, between(low, middle)).when(value == edge, F.lit(2 * middle + 1))
-            .otherwise(between(middle + 1, high))
+            f"CASE WHEN {value} < {edge} THEN {between(low, middle)} "
+            f"WHEN {value} = {edge} THEN {leaf(2 * middle + 1)} ELSE {between(middle + 1, high)} END"
         )
 
+    value = quoted(name)
     return between(0, len(edges))
 
 
-def _classed(df: DataFrame, names: list[str], edges: dict[str, list[float]]) -> DataFrame:
-    """Rows (place, class, value) of the columns that have edges."""
-    cells = [
-        F.struct(
-            F.lit(i).alias("place"), _class_of(column(n), edges[n]).alias("class"), column(n).alias("value")
-        )
-        for i, n in enumerate(names) if n in edges
-    ]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+def _classed(
+    df: DataFrame, names: list[str], edges: dict[str, list[float]], only: dict[str, list[int]] | None = None
+) -> DataFrame:
+    """Rows (place, class, value) of the columns that have edges; ``only`` keeps some classes of each.
+
+    Rows without any such value are left out before values become rows.
+    """
+    def leaf(name: str, kind: int) -> str:
+        return str(kind) if only is None or kind in only[name] else "CAST(NULL AS INT)"
+
+    cells, near = [], ["0", "0"]
+    for i, n in enumerate(names):
+        if n in edges and (only is None or only[n]):
+            kind = _class_of(n, edges[n], lambda k, n=n: leaf(n, k))
+            cells.append(f"struct({i} AS place, {kind} AS class, {quoted(n)} AS value)")
+            if only is not None:
+                near.append(_class_of(n, edges[n], lambda k, n=n: str(int(k in only[n]))))
+    if only is not None:
+        # A number, as the optimiser takes long conditions apart at great length.
+        df = df.where(f"greatest({', '.join(near)}) = 1")
+    rows = df.select(F.expr(f"inline(array({', '.join(cells)}))"))
+    return rows.where(F.col("value").isNotNull() & F.col("class").isNotNull())
+
+
+def _held(sketches: DataFrame, expected: int) -> DataFrame:
+    """(place, class, sketch, size), computed once: a few as local data, more are written."""
+    sized = sketches.withColumn("size", F.kll_sketch_get_n_double("sketch"))
+    if expected > SKETCHES_HELD:
+        return stage_table(sized, "sketches")
+    return sketches.sparkSession.createDataFrame(sized.toArrow(), sized.schema)
 
 
 def _sketches(rows: DataFrame, expected: int) -> DataFrame:
-    """(place, class, sketch, size) of rows (place, class, value), computed once.
+    """A sketch of each place and class of rows (place, class, value).
 
     Sketches are merged in two levels, so that no task gets those of all others. A sketch has a bounded size
-    whatever the table holds; a few are held as local data, more are written.
+    whatever the table holds.
     """
     keys = ["place", "class"]
     partial = rows.groupBy(*keys, (F.spark_partition_id() % MERGE_TASKS).alias("part")).agg(
         F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("s")
     )
-    merged = partial.groupBy(*keys).agg(F.kll_merge_agg_double("s", F.lit(SKETCH_SIZE)).alias("sketch"))
-    sized = merged.withColumn("size", F.kll_sketch_get_n_double("sketch"))
-    if expected > SKETCHES_HELD:
-        return stage_table(sized, "sketches")
-    return rows.sparkSession.createDataFrame(sized.toArrow(), sized.schema)
+    return _held(partial.groupBy(*keys).agg(F.kll_merge_agg_double("s", F.lit(SKETCH_SIZE)).alias("sketch")), expected)
+
+
+def _column_sketches(df: DataFrame, names: list[str]) -> DataFrame:
+    """A sketch of each whole column, as class 0. Up to ``SKETCHES_HELD`` columns need no row per value."""
+    if len(names) > SKETCHES_HELD:
+        return _sketches(_classed(df, names, {n: [] for n in names}), len(names))
+    partial = df.groupBy((F.spark_partition_id() % MERGE_TASKS).alias("part")).agg(
+        *[F.kll_sketch_agg_double(column(n), F.lit(SKETCH_SIZE)).alias(f"s{i}") for i, n in enumerate(names)]
+    )
+    merged = partial.agg(
+        *[F.kll_merge_agg_double(f"s{i}", F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(names))]
+    )
+    cells = [
+        F.struct(F.lit(i).alias("place"), F.lit(0).alias("class"), F.col(f"s{i}").alias("sketch"))
+        for i in range(len(names))
+    ]
+    found = _held(merged.select(F.inline(F.array(*cells))).where(F.col("sketch").isNotNull()), len(names))
+    return found.where(F.col("size") > 0)
 
 
 def _around(rank: int, size: int) -> list[float]:
@@ -147,7 +188,7 @@ def _guess(columns: dict[str, _Ranks], names: list[str], sketches: DataFrame, as
 
 def _first_guesses(df: DataFrame, names: list[str], columns: dict[str, _Ranks], probabilities: list[float]) -> None:
     """One sketch per column tells its size and roughly where the ranks are."""
-    sketches = _sketches(_classed(df, names, {n: [] for n in names}), len(names))
+    sketches = _column_sketches(df, names)
     asked = {}
     for place, size in sketches.select("place", "size").collect():
         own = columns[names[place]]
@@ -157,30 +198,50 @@ def _first_guesses(df: DataFrame, names: list[str], columns: dict[str, _Ranks],
 
 
 def _settle(df: DataFrame, names: list[str], columns: dict[str, _Ranks]) -> None:
-    """One round: count at all edges, then look between those around the open ranks."""
+    """One round: count at all edges, and sketch what lies between those around the open ranks."""
     edges = {n: own.edges() for n, own in columns.items() if own.guesses}
-    counts: dict[str, dict[int, int]] = defaultdict(dict)
     classed = _classed(df, names, edges)
-    for place, kind, n in classed.groupBy("place", "class").count().collect():
-        counts[names[place]][kind] = n
+    open_classes = {n: _between(edges[n], columns[n].guesses.values()) for n in edges}
+    expected = sum(map(len, open_classes.values()))
+
+    def count() -> dict[str, dict[int, int]]:
+        found: dict[str, dict[int, int]] = defaultdict(dict)
+        for place, kind, n in classed.groupBy("place", "class").count().collect():
+            found[names[place]][kind] = n
+        return found
+
+    def look() -> DataFrame:
+        return _sketches(_classed(df, names, edges, open_classes), expected)
+
+    done = run_together(df.sparkSession, {"counts": count} | ({"sketches": look} if expected else {}))
     inside: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
     for name, own in ((n, columns[n]) for n in edges):
-        kinds = sorted(counts[name])
-        ends = list(accumulate(counts[name][kind] for kind in kinds))
+        kinds = sorted(done["counts"][name])
+        ends = list(accumulate(done["counts"][name][kind] for kind in kinds))
         for rank in list(own.guesses):
             at = bisect_left(ends, rank + 1)
-            if kinds[at] % 2:
-                own.known[rank] = edges[name][kinds[at] // 2]
+            kind = kinds[at]
+            if kind % 2:
+                own.known[rank] = edges[name][kind // 2]
                 del own.guesses[rank]
+            elif kind in open_classes[name]:
+                inside[names.index(name), kind][rank] = rank - (ends[at - 1] if at else 0)
             else:
-                inside[names.index(name), kinds[at]][rank] = rank - (ends[at - 1] if at else 0)
-    if not inside:
-        return
-    # The classes around open ranks, by place.
-    open_classes = [[kind for place, kind in inside if place == i] for i in range(len(names))]
-    listed = F.array(*[F.array(*[F.lit(kind) for kind in kinds or [-1]]) for kinds in open_classes])
-    rows = classed.where(F.array_contains(F.get(listed, F.col("place")), F.col("class")))
-    _guess(columns, names, _sketches(rows, len(inside)), inside)
+                # The guess was off; the rank lies between the neighbouring edges.
+                ends_of = [-math.inf, *edges[name], math.inf]
+                own.guesses[rank] = ends_of[kind // 2], ends_of[kind // 2 + 1]
+    if inside:
+        _guess(columns, names, done["sketches"], inside)
+
+
+def _between(edges: list[float], guesses) -> list[int]:
+    """Classes between two edges that lie within a guess."""
+    found = {
+        2 * k
+        for low, high in guesses
+        for k in range(bisect_left(edges, low) + 1, bisect_left(edges, high) + 1)
+    }
+    return sorted(found)
 
 
 def exact_quantiles(
@@ -205,7 +266,7 @@ def approximate_quantiles(
     if not names:
         return {}
     df = df.select(*[numeric_value(name).alias(name) for name in names])
-    sketches = _sketches(_classed(df, names, {n: [] for n in names}), len(names))
+    sketches = _column_sketches(df, names)
     asked = [float(p) for p in probabilities]
     found = _read(sketches, {(place, 0): asked for place in range(len(names))})
     return {n: found.get((place, 0), [None] * len(asked)) for place, n in enumerate(names)}
