@@ -15,7 +15,7 @@ from rowlens.functions.numbers import (
 from rowlens.operators.cleaning import trim_headers
 from rowlens.operators.roles import text_names
 from rowlens.session import column, quoted, stage_table
-from rowlens.sources.dates import DATE_HINTS, date_candidates, date_evidence, parse_date_columns
+from rowlens.sources.dates import DATE_HINTS, date_candidates, date_evidence, date_kind, parse_date_columns
 from rowlens.sources.records import Borders, csv_records, find_borders, record_text, text_lines
 
 COLUMNS_PER_AGGREGATE = 20
@@ -53,7 +53,9 @@ def _text_facts(
         chunk = names[start : start + COLUMNS_PER_AGGREGATE]
         own = [F.struct(*[c.alias(n) for n, c in more.items()]).alias("more")] if more and not start else []
         hinted = [n for n in chunk if any(hint in n.lower() for hint in DATE_HINTS)]
-        row = (df if pruned is None or not start else pruned).agg(
+        table = df if pruned is None or not start else pruned
+        # As columns of their own, the kinds are computed once for all counts.
+        row = table.select("*", *[date_kind(column(n)).alias(f"{KIND}{n}") for n in hinted]).agg(
             *own,
             *[
                 F.struct(
@@ -65,7 +67,7 @@ def _text_facts(
                     F.count_if(is_number(column(n))).alias("double"),
                     F.count_if(column(n).isin(*BOOLEAN_TEXTS)).alias("boolean"),
                     F.count_if(column(n).contains(REPLACEMENT)).alias("undecoded"),
-                    (date_evidence(column(n)) if n in hinted else F.lit(None)).alias("dates"),
+                    (date_evidence(column(n), column(f"{KIND}{n}")) if n in hinted else F.lit(None)).alias("dates"),
                 ).alias(f"c{i}")
                 for i, n in enumerate(chunk)
             ],
@@ -113,7 +115,7 @@ def _read_text(spark: SparkSession, path: str, encoding: str, multiline: bool) -
     )
 
 
-RECORD = "__record"
+RECORD, KIND = "__record", "__kind_of_"
 _FORM = {"quote": '"', "escape": '"'}
 
 
