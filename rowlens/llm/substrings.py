@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rowlens.llm.tables import extended, in_batches, numbered_columns, shuffle_partitions
-from rowlens.llm.words import sequence_hashes, text_blocks, word_counts, word_hashes, word_spans
+from rowlens.llm.words import mixed, sequence_hashes, text_blocks, word_counts, word_hashes, word_spans
 from rowlens.session import stage_table
 
 WINDOW = 13
 ANCHOR = 6
 #: Most windows of one path; a longer run is cut.
-MOST_WINDOWS = 65_535
+MOST_WINDOWS = 64
+#: Odd factors of the hash of a path's body, one for each word (windows are at most 64 words wide).
+PLACE_FACTORS = np.random.default_rng(20_240_502).integers(0, 1 << 63, 128, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Documents read to find anchors that very many documents share.
 SAMPLE_DOCS = 20_000
 #: Share of the sampled documents from which an anchor takes the way for hot keys, and least number.
@@ -40,16 +42,19 @@ HOT_SHARE, HOT_LEAST = 0.005, 20
 
 
 def path_bodies(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the word hashes from ``begins`` to before ``ends``."""
-    base = np.uint64(0xD6E8FEB86659FD93)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    powers = np.full(len(words) + 1, base, dtype=np.uint64)
-    back = np.full(len(words) + 1, inverse, dtype=np.uint64)
-    powers[0] = back[0] = 1
-    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers[:-1], out=sums[1:])
-    return (sums[ends] - sums[begins]) * back[begins]
+    """64-bit hash of the word hashes from ``begins`` to before ``ends``.
+
+    Each place has a random factor of its own, so no regular sequence of words cancels out as it can in a
+    polynomial modulo 2^64.
+    """
+    lengths = ends - begins
+    sums = np.zeros(len(begins), dtype=np.uint64)
+    order = np.argsort(-lengths, kind="stable")
+    open_paths = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
+    for place, count in enumerate(open_paths):
+        some = order[:count]
+        sums[some] += words[begins[some] + place] * PLACE_FACTORS[place]
+    return mixed(sums + lengths.astype(np.uint64))
 
 
 def text_paths(offsets: np.ndarray, data: np.ndarray, window: int, anchor: int) -> dict[str, np.ndarray]:
@@ -313,13 +318,18 @@ def remove_repeats(
 
     Null and empty texts have no words; a null text stays null. Rows with a null id lose nothing and
     cost others nothing. Rows of one id are one document: they take nothing from each other, and each
-    is returned.
+    is returned. Columns with the names of the added ones are replaced, any other name may be there. An
+    empty table stays empty.
     """
-    names = docs.columns
+    if not anchor <= window <= len(PLACE_FACTORS) - MOST_WINDOWS:
+        raise ValueError(f"windows have {anchor} to {len(PLACE_FACTORS) - MOST_WINDOWS} words")
+    added = ["n_words", "n_removed", "kept_sha256" if digest else text]
     plain = numbered_columns(docs)
-    key, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
+    key, body = f"c{docs.columns.index(id_column)}", f"c{docs.columns.index(text)}"
+    named = {c: n for c, n in zip(plain.columns, docs.columns) if c != body and n not in added}
+    plain = plain.select(*dict.fromkeys([*named, key, body]))
     others = [c for c in plain.columns if c != body]
-    out = [n for n in names if n != text] + ["n_words", "n_removed", "kept_sha256" if digest else text]
+    out = [*named.values(), *added]
     schema = extended(plain.select(*others).schema, "n_words long, n_removed long, out string")
 
     numbered = _numbered(plain, key, body)
@@ -339,4 +349,4 @@ def remove_repeats(
     done = _rewritten(with_id, schema, window, digest).unionAll(
         _rewritten(no_id, schema, window, digest)
     )
-    return done.toDF(*out)
+    return done.select(*named, "n_words", "n_removed", "out").toDF(*out)

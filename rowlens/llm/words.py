@@ -7,14 +7,15 @@ the bytes of an Arrow string column, so no Python object is made per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
 BLOCK_BYTES = 2 << 20
-#: Fixed odd numbers of the byte and word hashes.
-BASE = 0x9E3779B97F4A7C15
+#: Seed of the word hashes and of the factors of sequence hashes.
 SEED = 20_240_501
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -82,36 +83,26 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power 0, 1, ... and the same of its inverse modulo 2^64."""
-    global _powers, _inverse
-    if len(_powers) < length:
-        size = max(length, BLOCK_BYTES + 1)
-        tables = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers, _inverse = tables
-    return _powers, _inverse
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words have equal hashes wherever they are."""
+    """A 64-bit hash (XXH3) of each word's bytes; equal words have equal hashes wherever they are.
+
+    Every distinct word of the block is hashed once.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    bytes_of = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32 if offsets[-1] < 1 << 31 else np.int64)), pa.py_buffer(bytes_of)]
+    kind = pa.binary() if offsets[-1] < 1 << 31 else pa.large_binary()
+    coded = pa.Array.from_buffers(kind, len(starts), buffers).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct))
+    return hashes[coded.indices.to_numpy()]
 
 
 def sequence_hashes(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """Hash of every ``length`` consecutive word hashes (fewer words: none).
+    """Hash of every ``length`` consecutive word hashes (fewer words: none), by a random factor per place.
 
     Runs across row borders too; the caller leaves those places out.
     """

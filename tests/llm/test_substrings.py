@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from awkward_tables import awkward, awkward_docs, empty_docs  # noqa: F401
 
 from rowlens.llm import substrings
@@ -91,3 +92,35 @@ def test_long_runs_are_cut(spark, monkeypatch):
 def test_empty_table(empty_docs):
     assert substrings.remove_repeats(empty_docs).count() == 0
     assert substrings.remove_repeats(empty_docs, digest=True).count() == 0
+
+
+def test_regular_words_and_sequences_do_not_cancel(spark):
+    """The Thue-Morse sequence and its complement are equal to any polynomial hash modulo 2^64."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {same}"), (2, f"{other} {same}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+    spaced = [" ".join(t) for t in (one, other)]
+    rows = [(1, f"{spaced[0]} {same}"), (2, f"{spaced[1]} {same}"), (3, f"x {spaced[1][:3000]}")]
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, docs.schema)).collect()}
+    kept = plain_kept(rows, 13)
+    assert [found[k] for k in (1, 2, 3)] == [len(t.split()) - len(k) for (_, t), k in zip(rows, kept)]
+
+
+def test_hashes_of_paths_tell_order_and_length():
+    words = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    begins = np.array([0, 1, 0, 100, 0, 5])
+    ends = np.array([18, 18, 76, 176, 18, 5])
+    found = substrings.path_bodies(words, begins, ends)
+    assert found[0] == found[4] and len(set(found.tolist())) == 5
+    shifted = np.concatenate([words[100:176], words])
+    assert substrings.path_bodies(shifted, np.array([0, 176]), np.array([76, 252]))[0] == found[3]
+
+
+def test_columns_named_like_the_added_ones(spark, awkward, awkward_docs):
+    rows = substrings.remove_repeats(awkward_docs.withColumn("n_removed", F.lit("old")), digest=True).collect()
+    plain = substrings.remove_repeats(awkward_docs.select("doc_id", "text"), digest=True).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"])
+    assert sorted(map(key, rows)) == sorted(map(key, plain))
+    assert rows[0].__fields__.count("n_words") == rows[0].__fields__.count("n_removed") == 1
