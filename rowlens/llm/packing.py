@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import extended, in_batches
+from rowlens.llm.tables import numbered_columns, extended, in_batches
 from rowlens.llm.tokens import END_ID, VOCABULARY, encoded
 from rowlens.session import stage_table
 
@@ -146,46 +146,49 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Sequences are filled without gaps from offset 0 and hold at most ``capacity`` tokens. ``pieces`` is
     read more than once, so it should be a written table. To the driver come the counts per length.
     Equally long pieces are ranked in salted groups, so a length that a third of all pieces has is
-    spread; equal rows are interchangeable. An empty table stays empty.
+    spread; equal rows are interchangeable. An empty table stays empty. Columns named ``sequence_id`` or
+    ``offset`` are replaced, any other name may be there.
     """
+    names = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
+    plain = numbered_columns(pieces.select(*[F.col(f"`{n}`") for n in names]))
+    length = f"c{names.index('length')}"
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for row in pieces.groupBy("length").count().collect():
-        counts[row["length"]] = row["count"]
+    for size, count in plain.groupBy(length).count().collect():
+        counts[size] = count
     slots = _slots(best_two_fit(counts), capacity)
     salts = max(1, -(-int(counts.max()) // RANKED_TOGETHER))
-    names = pieces.columns
-    order = [F.xxhash64(*[F.col(f"`{c}`") for c in names]), *[F.col(f"`{c}`") for c in names if c != "ids"]]
-    salted = pieces.withColumn("salt", F.pmod(order[0], F.lit(salts)).cast("int"))
-    before = salted.groupBy("length", "salt").count().select(
-        F.col("length").alias("of_length"), F.col("salt").alias("of_salt"),
+    order = [F.xxhash64(*plain.columns), *[c for c, n in zip(plain.columns, names) if n != "ids"]]
+    salted = plain.withColumn("salt", F.pmod(order[0], F.lit(salts)).cast("int"))
+    before = salted.groupBy(length, "salt").count().select(
+        F.col(length).alias("of_length"), F.col("salt").alias("of_salt"),
         (
-            F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
+            F.sum("count").over(Window.partitionBy(length).orderBy("salt")) - F.col("count")
         ).alias("before"),
     )
     ranked = (
-        salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))
-        .join(before, (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
-        .select(*names, (F.col("before") + F.col("rank") - 1).alias("rank"))
+        salted.withColumn("rank", F.row_number().over(Window.partitionBy(length, "salt").orderBy(*order)))
+        .join(before, (F.col(length) == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
+        .select(*plain.columns, (F.col("before") + F.col("rank") - 1).alias("rank"))
     )
-    schema = extended(pieces.schema, "sequence_id long, offset long")
+    schema = extended(plain.schema, "sequence_id long, offset long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(names.index("length")).to_numpy()
             ranks = batch.column(len(names)).to_numpy()
             sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                table = slots[int(length)]
+            for size in np.unique(lengths):
+                at = np.flatnonzero(lengths == size)
+                table = slots[int(size)]
                 use = table[np.searchsorted(table[:, 0], ranks[at], side="right") - 1]
                 number = ranks[at] - use[:, 0]
                 sequence[at] = use[:, 2] + number // use[:, 1]
-                offset[at] = use[:, 3] + number % use[:, 1] * length
+                offset[at] = use[:, 3] + number % use[:, 1] * size
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], schema.names
             )
 
-    return ranked.mapInArrow(work, schema)
+    return ranked.mapInArrow(work, schema).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(

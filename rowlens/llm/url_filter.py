@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowlens.llm.tables import numbered_columns
 from rowlens.session import stage_table
 
 ALLOW, BLOCK = "allow", "block"
@@ -63,13 +64,17 @@ def judge_urls(
     of equally long ones that with the longer host, then a blocking one. Without a fitting rule ``rule``
     is null and the verdict is ``default``. URLs that are null, empty or without ``://`` have an empty
     host and path; rules with a null are ignored, repeated ones count once. Columns of these four names
-    in ``pages`` are replaced.
+    in ``pages`` are replaced, any other name may be there. Repeated rows are returned as often as they
+    come; an empty table stays empty.
 
     Distinct host and path are judged once and joined back; a very common URL is split by adaptive
     execution. From the rules only the distinct path lengths and the most labels come to the driver.
     """
-    judged = pages.drop("host", "path", "rule", "verdict")
-    judged = judged.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
+    every = numbered_columns(pages)
+    address = F.col(f"c{pages.columns.index(url)}")
+    named = {f"c{k}": n for k, n in enumerate(pages.columns) if n not in ("host", "path", "rule", "verdict")}
+    names = [*named.values(), "host", "path", "rule", "verdict"]
+    judged = every.select(*named, host_of(address).alias("host"), path_of(address).alias("path"))
     listed = (
         rules.select("host", "path", "verdict").dropna()
         .withColumn("host", F.translate("host", _UPPER, _LOWER)).distinct()
@@ -78,7 +83,7 @@ def judge_urls(
         F.max(F.size(F.split("host", r"\."))), F.sort_array(F.collect_set(F.length("path")))
     ).first()
     if shape[0] is None:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).toDF(*names)
     digest = _digest(F.col("host"), F.col("path"))
     listed = listed.select(
         F.concat("host", "path").alias("rule"), "verdict", digest.alias("rule_digest"),
@@ -100,6 +105,6 @@ def judge_urls(
     # Written once, so that both sides of the join back are plain shuffles that can be split.
     fitting = stage_table(fitting, "fitting_rules")
     return judged.join(fitting, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in judged.columns], F.col("best.rule").alias("rule"),
+        *judged.columns, F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-    )
+    ).toDF(*names)
