@@ -264,8 +264,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     found = near_duplicates(plain, own, body).where(F.col(own) == F.col("component_id"))
     heads = found.select(F.col(own).alias("head")).distinct()
     kept = plain.join(heads, F.col(own) == F.col("head"), "left_semi")
+    # Only rows whose id comes more than once are compared.
+    repeated = plain.groupBy(F.col(own).alias("again")).count().where("count > 1 AND again IS NOT NULL").select("again")
+    single = kept.join(repeated, F.col(own) == F.col("again"), "left_anti")
     whole = F.struct(*plain.columns)
-    one = kept.groupBy(F.col(own).alias("head")).agg(
+    one = kept.join(repeated, F.col(own) == F.col("again"), "left_semi").groupBy(F.col(own).alias("head")).agg(
         F.min_by(whole, F.struct(F.col(body), F.xxhash64(F.to_json(whole)))).alias("row")
     )
-    return one.select("row.*").union(plain.where(F.col(own).isNull())).toDF(*names)
+    return single.unionAll(one.select("row.*")).unionAll(plain.where(F.col(own).isNull())).toDF(*names)

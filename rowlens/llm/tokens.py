@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words remembered per process; further ones are encoded in each block that has them.
-REMEMBERED = 1_500_000
+#: Bytes of words and ids remembered per process; further words are encoded in each block that has them.
+REMEMBERED_BYTES = 16 << 20
 #: Characters of texts encoded together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 1_500_000
 #: Words given to the library as one text.
 JOINED = 64
 #: Id at the end of a document.
@@ -67,7 +67,7 @@ class Remembered:
             ids = np.concatenate([ids, more])
             first = np.concatenate([first, first[-1] + np.cumsum(sizes)])
             place[new] = len(self.words) + np.arange(len(new))
-            if len(self.words) < most:
+            if self.words.nbytes + self.ids.nbytes + self.first.nbytes < most:
                 self.words = pa.concat_arrays([self.words, words])
                 self.ids, self.first = ids, first
         return ids, first[place], first[place + 1] - first[place]
@@ -118,13 +118,13 @@ class Encoder:
         opening = word_at[:-1]
         coded = flat.dictionary_encode()
         ids, first_of, size_of = self.after_blank.ids_of(
-            coded.dictionary, lambda new: self._learn(new, " "), REMEMBERED
+            coded.dictionary, lambda new: self._learn(new, " "), REMEMBERED_BYTES
         )
         number = coded.indices.to_numpy()
         first, size = first_of[number], size_of[number]
         heads = flat.take(pa.array(opening)).dictionary_encode()
         head_ids, head_first, head_size = self.at_start.ids_of(
-            heads.dictionary, lambda new: self._learn(new, ""), REMEMBERED // 4
+            heads.dictionary, lambda new: self._learn(new, ""), REMEMBERED_BYTES // 4
         )
         number = heads.indices.to_numpy()
         first[opening], size[opening] = len(ids) + head_first[number], head_size[number]
