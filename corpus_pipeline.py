@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.llm import language_id, mixing, packing, simhash, substrings
-from rowlens.llm.tables import held_out, read_table
+from rowlens.llm.tables import held_out, numbered_columns, read_table
 from rowlens.session import stage_table
 
 #: SQL can express neither the fingerprints nor the token ids; tests compare with a plain version.
@@ -35,9 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that an earlier one has in a window of 13; none left: they go."""
-    cut = substrings.remove_repeats(docs)
+    # Numbered names cannot clash with the counts that are added.
+    plain = numbered_columns(docs)
+    own, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
+    cut = substrings.remove_repeats(plain, own, text)
     left = cut.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return _with_length(left, docs.columns)
+    return _with_length(left.select(*plain.columns).toDF(*docs.columns), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
