@@ -16,7 +16,7 @@ from rowlens.session import beside
 
 RELATIONSHIPS_SHOWN = 8
 DRIVERS_SHOWN = 6
-FINDINGS_SHOWN = 4
+FINDINGS_SHOWN, ALERTS_SHOWN = 4, 4
 RECOMMENDATIONS_SHOWN = 5
 NOTHING_STRONG = "N/A"
 STABLE = "Nothing in the results stands out."
@@ -257,11 +257,15 @@ def key_findings(facts: DataFrame, insights: DataFrame | None = None) -> DataFra
             F.concat(F.lit("First insight: "), F.col("text")).alias("text"),
         )
         rows = rows.unionByName(first)
-    return _numbered(_or_else(rows, facts, "stable", STABLE), FINDINGS_SHOWN)
+    return _numbered(_or_else(rows, facts, FINDINGS_SHOWN, "stable", STABLE), FINDINGS_SHOWN)
 
 
-def _or_else(rows: DataFrame, facts: DataFrame, code: str, text: str) -> DataFrame:
-    """Add a closing statement that only counts when nothing else was found."""
+def _or_else(rows: DataFrame, facts: DataFrame, keep: int, code: str, text: str) -> DataFrame:
+    """The first ``keep`` rows, or a closing statement where there are none.
+
+    The limit comes first, task by task, so the window below sees a handful of rows.
+    """
+    rows = rows.orderBy("priority", "place").limit(keep)
     closing = facts.select(
         F.lit(1000).alias("priority"),
         F.lit(0).alias("place"),
@@ -345,7 +349,7 @@ def recommendations(facts: DataFrame, results: dict[str, DataFrame]) -> DataFram
             )
         )
     rows = rows.where("text IS NOT NULL")
-    return _numbered(_or_else(rows, facts, "stay", STAY), RECOMMENDATIONS_SHOWN)
+    return _numbered(_or_else(rows, facts, RECOMMENDATIONS_SHOWN, "stay", STAY), RECOMMENDATIONS_SHOWN)
 
 
 def alerts(facts: DataFrame) -> DataFrame:
@@ -374,7 +378,7 @@ def alerts(facts: DataFrame) -> DataFrame:
         ],
     )
     text = "No alert"
-    return _numbered(_or_else(rows, facts, "INFO", text), 4)
+    return _numbered(_or_else(rows, facts, ALERTS_SHOWN, "INFO", text), ALERTS_SHOWN)
 
 
 def executive_snapshot(facts: DataFrame, plan_summary: str | None = None) -> DataFrame:

@@ -54,8 +54,8 @@ def named_like_identifier(name: str) -> bool:
 def gap_free_sequences(df: DataFrame, names: list[str]) -> list[str]:
     """Integer columns whose sorted values go up by one from row to row.
 
-    Range and count come first and cost one pass without a shuffle; distinct values are counted
-    only for columns where the range already fits the number of rows.
+    Range and count come first and cost one pass without a shuffle; distinct values are counted, all
+    columns in one job, only where the range already fits the number of rows.
     """
     integers = [n for n in names if isinstance(df.schema[n].dataType, T.IntegralType)]
     if not integers:
@@ -64,14 +64,34 @@ def gap_free_sequences(df: DataFrame, names: list[str]) -> list[str]:
     for name in integers:
         c = column(name)
         width = F.max(c).cast("decimal(38,0)") - F.min(c).cast("decimal(38,0)") + 1
-        checks.append((F.count(c) == F.count("*")) & (width == F.count("*")))
-    fits = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
-    found = []
-    for name in [n for n, ok in zip(integers, fits) if ok]:
-        repeated = df.groupBy(column(name)).agg(F.count("*").alias("n")).where("n > 1")
-        if repeated.isEmpty():
-            found.append(name)
-    return found
+        fits = (F.count(c) == F.count("*")) & (width == F.count("*"))
+        checks.append(F.struct(fits.alias("fits"), F.min(c).cast("bigint").alias("least"), F.count("*").alias("n")))
+    found = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
+    fitting = {n: facts for n, facts in zip(integers, found) if facts["fits"]}
+    distinct = _distinct_in_range(df, {n: facts["least"] for n, facts in fitting.items()})
+    return [n for n, facts in fitting.items() if distinct[n] == facts["n"]]
+
+
+def _distinct_in_range(df: DataFrame, least: dict[str, int]) -> dict[str, int]:
+    """Distinct values of integer columns by bitmaps, one bit for each value above the least.
+
+    One job for all columns. A task sets bits, so equal and neighbouring values are one entry of its shuffle;
+    bitmaps of 32 768 values are put together by ``or`` and counted.
+    """
+    if not least:
+        return {}
+    cells = [
+        F.struct(F.lit(i).alias("place"), (column(n).cast("bigint") - F.lit(low) + 1).alias("at"))
+        for i, (n, low) in enumerate(least.items())
+    ]
+    bits = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("place", F.bitmap_bucket_number("at").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    )
+    counted = bits.groupBy("place").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()
+    by_place = {row["place"]: row["n"] for row in counted}
+    return {n: by_place.get(i, 0) for i, n in enumerate(least)}
 
 
 def find_roles(df: DataFrame) -> Roles:

@@ -4,10 +4,11 @@ from datetime import datetime
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from rowlens.session import clear_scratch, scratch_path, shared_folder, stage_table
 from rowlens.sources.dates import parse_date, parse_date_columns
-from rowlens.sources.sinks import write_cleaned, write_results
+from rowlens.sources.sinks import read_results, write_cleaned, write_results
 from rowlens.sources.tables import LoadError, infer_types, load_csv, load_parquet
 
 
@@ -149,6 +150,47 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.parquet(paths["kinds"]).groupBy("run_id").count()) == [("r1", 2), ("r2", 2)]
 
 
+def test_a_run_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A failure between two tables, and one between the commit and the last move."""
+    from rowlens.sources import sinks
+
+    folder = str(tmp_path / "results")
+    old = {name: spark.createDataFrame([(1, "old")], "k int, t string") for name in ("a", "b")}
+    new = {name: spark.createDataFrame([(2, "new")], "k int, t string") for name in ("a", "b")}
+    write_results(old, folder, "run 1/x")
+    write_results(old, folder, "other")
+    broken = new["b"].withColumn("t", F.raise_error(F.lit("no table")))
+    with pytest.raises(Exception, match="no table"):
+        write_results({"a": new["a"], "b": broken}, folder, "run 1/x")
+
+    def seen(reader):
+        return {name: sorted((r["run_id"], r["t"]) for r in reader(name).collect()) for name in ("a", "b")}
+
+    def committed(name):
+        return read_results(spark, folder, name)
+
+    before = {name: [("other", "old"), ("run 1/x", "old")] for name in ("a", "b")}
+    assert seen(committed) == seen(lambda name: spark.read.parquet(f"{folder}/{name}")) == before
+    publish, moved = sinks._publish, []
+
+    def stopped(files, path, table, run_id, attempt):
+        if moved:
+            raise OSError("stopped")
+        moved.append(table)
+        publish(files, path, table, run_id, attempt)
+
+    monkeypatch.setattr(sinks, "_publish", stopped)
+    with pytest.raises(OSError, match="stopped"):
+        write_results(new, folder, "run 1/x")
+    after = {name: [("other", "old"), ("run 1/x", "new")] for name in ("a", "b")}
+    assert seen(committed) == after
+    monkeypatch.setattr(sinks, "_publish", publish)
+    write_results(new, folder, "run 1/x")
+    assert seen(committed) == seen(lambda name: spark.read.parquet(f"{folder}/{name}")) == after
+    with pytest.raises(FileNotFoundError):
+        read_results(spark, folder, "none")
+
+
 def test_scratch_is_cleared(spark):
     import os
 
