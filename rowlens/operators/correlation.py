@@ -1,20 +1,20 @@
 """Correlations of all column pairs by centred moments that are merged, in one scan.
 
-A few columns go through Spark's own aggregates, which keep means and centred sums and merge
-them pairwise. Many columns go through matrix products: each task centres by its first batch, keeps sums of
+A few columns go through plain sums, taken from a value of each column so that no digits are lost. Many columns go through matrix products: each task centres by its first batch, keeps sums of
 a tile of pairs, and hands centred moments on that are merged in the same way. Tables wider than a
 tile are read tile by tile, only the columns of that tile, so no task holds the moments of all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowlens.operators.quantiles import numeric_value
@@ -29,32 +29,62 @@ MERGE_GROUPS = 256
 # A centred sum below this share of the sum it is taken from is rounding, not variation; likewise a
 # distance of means below this share of a mean.
 ROUNDING, LAST_DIGITS = 1e-12, 4e-15
+# Below this share so many digits are lost that sums are taken again from the means.
+LOST = 1e-5
+# Rows looked at for a value of each column.
+FIRST_ROWS = 1000
 _MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy", "unbounded")
 
 
-def _native_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(left_pos, right_pos, r) by one aggregate over rows of pairs."""
-    pairs = combinations_with_replacement(range(len(names)), 2)
-    values = df.select(*[numeric_value(n).alias(f"c{i}") for i, n in enumerate(names)])
-    rows = values.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("left_pos"), F.lit(j).alias("right_pos"),
-                        F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"),
-                    )
-                    for i, j in pairs
-                ]
-            )
+def _shifted_sums(values: DataFrame, pairs: list[tuple[int, int]], shift: list[float]) -> dict[tuple[int, int], Row]:
+    """Sums over the complete rows of each pair, taken from ``shift``: one scan of columns c0, c1, ..."""
+    cells = [
+        F.struct(
+            F.lit(k).alias("pair"), (F.col(f"c{i}") - shift[i]).alias("x"), (F.col(f"c{j}") - shift[j]).alias("y")
         )
+        for k, (i, j) in enumerate(pairs)
+    ]
+    x, y = F.col("x"), F.col("y")
+    rows = values.select(F.inline(F.array(*cells))).where(x.isNotNull() & y.isNotNull())
+    sums = rows.groupBy("pair").agg(
+        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
     )
-    # ``corr`` itself fails for columns without variation, and rounding can look like some.
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("left_pos", "right_pos").agg(
-        F.when(varies & ~F.isnan(r), r).alias("r")
-    )
+    return {pairs[row["pair"]]: row for row in sums.collect()}
+
+
+def _native_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(left_pos, right_pos, r) by plain sums over rows of pairs, taken from a value of each column.
+
+    Where that value proves to be so far off that digits are lost, all sums are taken once more from the means.
+    """
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    values = df.select(*[numeric_value(n).alias(f"c{i}") for i, n in enumerate(names)])
+    some = [F.first(F.when(F.abs(c) < math.inf, F.col(c)), ignorenulls=True).alias(c) for c in values.columns]
+    shift = [v or 0.0 for v in values.limit(FIRST_ROWS).agg(*some).first()]
+    sums = _shifted_sums(values, pairs, shift)
+    if any(_far_off(*side) for row in sums.values() for side in _sides(row)):
+        means = [sums.get((i, i)) for i in range(len(names))]
+        shift = [s + row["sx"] / row["n"] if row and math.isfinite(row["sx"]) else s for s, row in zip(shift, means)]
+        sums = _shifted_sums(values, pairs, shift)
+    rows = []
+    for (i, j), row in sums.items():
+        spread = [max(square - total * total / n, 0.0) for n, total, square in _sides(row)]
+        if all(math.isfinite(v) and v > ROUNDING * square for v, (_, _, square) in zip(spread, _sides(row))):
+            shared = row["sxy"] - row["sx"] * row["sy"] / row["n"]
+            rows.append((i, j, shared / math.sqrt(spread[0]) / math.sqrt(spread[1])))
+    return small_table(df.sparkSession, rows, "left_pos int, right_pos int, r double")
+
+
+def _sides(row: Row) -> list[tuple[int, float, float]]:
+    """(n, sum, sum of squares) of both columns of a pair."""
+    return [(row["n"], row["sx"], row["sxx"]), (row["n"], row["sy"], row["syy"])]
+
+
+def _far_off(n: int, total: float, square: float) -> bool:
+    """Whether nearly all of the squares are the distance to the mean, but not by rounding alone."""
+    centred = square - total * total / n
+    return ROUNDING * square < centred < LOST * square
 
 
 def _centred(squares: np.ndarray, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
