@@ -261,14 +261,19 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     names = docs.columns
     plain = numbered_columns(docs)
     own, body = f"c{names.index(id_column)}", f"c{names.index(text)}"
-    found = near_duplicates(plain, own, body).where(F.col(own) == F.col("component_id"))
-    heads = found.select(F.col(own).alias("head")).distinct()
-    kept = plain.join(heads, F.col(own) == F.col("head"), "left_semi")
-    # Only rows whose id comes more than once are compared.
-    repeated = plain.groupBy(F.col(own).alias("again")).count().where("count > 1 AND again IS NOT NULL").select("again")
-    single = kept.join(repeated, F.col(own) == F.col("again"), "left_anti")
+    head = F.col(own) == F.col("component_id")
+    # Only ids that go or come more than once. Written, so that their size is known before rows meet them:
+    # a small table is sent to the rows, and only a larger one makes the rows be shuffled.
+    marked = stage_table(
+        near_duplicates(plain, own, body).where(F.col(own).isNotNull()).groupBy(F.col(own).alias("marked"))
+        .agg(F.max(head).alias("stays"), F.count("*").alias("copies")).where("copies > 1 OR NOT stays"),
+        "marked_ids",
+    )
+    gone, repeated = marked.where("NOT stays").select("marked"), marked.where("stays").select("marked")
+    kept = plain.where(F.col(own).isNotNull()).join(gone, F.col(own) == F.col("marked"), "left_anti")
+    single = kept.join(repeated, F.col(own) == F.col("marked"), "left_anti")
     whole = F.struct(*plain.columns)
-    one = kept.join(repeated, F.col(own) == F.col("again"), "left_semi").groupBy(F.col(own).alias("head")).agg(
+    one = kept.join(repeated, F.col(own) == F.col("marked"), "left_semi").groupBy(F.col(own).alias("head")).agg(
         F.min_by(whole, F.struct(F.col(body), F.xxhash64(F.to_json(whole)))).alias("row")
     )
     return single.unionAll(one.select("row.*")).unionAll(plain.where(F.col(own).isNull())).toDF(*names)
