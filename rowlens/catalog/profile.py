@@ -145,10 +145,7 @@ _ORDER_FIGURES = union_all(
 
 
 def _order_figures(t: Tables) -> DataFrame:
-    long = p.profile_long(p.dataset_profile(t["orders"]))
-    number = F.col("value").try_cast("double")
-    shown = F.when(number.isNotNull(), F.regexp_replace(F.format_number(number, 3), ",", ""))
-    return long.withColumn("value", F.coalesce(shown, "value"))
+    return p.profile_long(p.dataset_profile(t["orders"], rounded=False), digits=3)
 
 
 _FREQUENT = {"part": ("p_name", "p_brand", "p_type"), "documents": ("lang", "source"),

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rowlens.functions.numbers import finite_or_null, sanitized
+from rowlens.functions.numbers import finite_or_null, fixed, sanitized
 from rowlens.functions.statistics import percent, sample_skewness
 from rowlens.operators.counts import distinct_counts, frequent_and_totals, most_frequent
 from rowlens.operators.quantiles import column_quantiles, numeric_value
-from rowlens.operators.roles import Roles, find_roles
+from rowlens.operators.roles import Roles, find_roles, numeric_names
 from rowlens.session import column, pin, run_together, small_table
 
 # Measures per aggregate, so that the buffers of one aggregate stay within generated code.
@@ -50,25 +50,26 @@ def per_column(df: DataFrame, names: list[str], fields, batch: int) -> DataFrame
     return parts
 
 
-def _four(c: Column) -> Column:
-    return F.round(finite_or_null(c), 4)
-
-
 def numeric_profile(
     df: DataFrame,
     names: list[str] | None = None,
     approx: bool = False,
     quartiles: dict[str, list[float | None]] | None = None,
+    rounded: bool = True,
 ) -> DataFrame:
     """One row per measure; a measure without values only gets a skip reason.
 
-    ``quartiles`` may be given where they are known already.
+    ``quartiles`` may be given where they are known already. Figures have four decimals and percentages
+    two, unless ``rounded`` is false.
     """
     names = find_roles(df).numeric if names is None else names
     if not names:
         return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
     quartiles = quartiles or column_quantiles(df, names, QUARTILES, approx)
 
+    def shown(c: Column, digits: int = 4) -> Column:
+        return F.round(finite_or_null(c), digits) if rounded else finite_or_null(c)
+
     def fields(name: str) -> list[Column]:
         c = numeric_value(name)
         q25, median, q75 = (F.lit(q).cast("double") for q in quartiles[name])
@@ -80,19 +81,19 @@ def numeric_profile(
             return F.when(filled, value)
 
         return [
-            _four(F.avg(c)).alias("mean"),
-            _four(median).alias("median"),
-            if_filled(_four(F.coalesce(F.stddev_samp(c), F.lit(0.0)))).alias("std"),
-            _four(F.min(c)).alias("min"),
-            _four(q25).alias("q25"),
-            _four(q75).alias("q75"),
-            _four(q75 - q25).alias("iqr"),
-            _four(F.max(c)).alias("max"),
-            if_filled(_four(sample_skewness(c))).alias("skewness"),
+            shown(F.avg(c)).alias("mean"),
+            shown(median).alias("median"),
+            if_filled(shown(F.coalesce(F.stddev_samp(c), F.lit(0.0)))).alias("std"),
+            shown(F.min(c)).alias("min"),
+            shown(q25).alias("q25"),
+            shown(q75).alias("q75"),
+            shown(q75 - q25).alias("iqr"),
+            shown(F.max(c)).alias("max"),
+            if_filled(shown(sample_skewness(c))).alias("skewness"),
             if_filled(zeros).alias("zero_count"),
-            if_filled(F.round(percent(zeros, n), 2)).alias("zero_percent"),
+            if_filled(shown(percent(zeros, n), 2)).alias("zero_percent"),
             if_filled(missing).alias("missing_count"),
-            if_filled(F.round(percent(missing, F.count("*")), 2)).alias("missing_percent"),
+            if_filled(shown(percent(missing, F.count("*")), 2)).alias("missing_percent"),
             F.when(~filled, ALL_MISSING).alias("skipped_reason"),
         ]
 
@@ -237,13 +238,13 @@ def all_null_skip(df: DataFrame) -> DataFrame:
     return rows.where("n_values = 0").select("column", F.lit(ALL_MISSING).alias("skipped_reason"))
 
 
-def dataset_profile(df: DataFrame, approx: bool = False) -> Profile:
-    """Profile all columns; the three kinds run at the same time."""
+def dataset_profile(df: DataFrame, approx: bool = False, rounded: bool = True) -> Profile:
+    """Profile all columns; the three kinds run at the same time. ``rounded`` is that of ``numeric_profile``."""
     roles = find_roles(df)
 
     def measures() -> tuple[dict[str, list[float | None]], DataFrame]:
         quartiles = column_quantiles(df, roles.numeric, QUARTILES, approx)
-        return quartiles, pin(numeric_profile(df, roles.numeric, approx, quartiles))
+        return quartiles, pin(numeric_profile(df, roles.numeric, approx, quartiles, rounded))
 
     done = run_together(
         df.sparkSession,
@@ -258,8 +259,12 @@ def dataset_profile(df: DataFrame, approx: bool = False) -> Profile:
     return Profile(done["rows"], roles, quartiles, numeric, done["categories"], done["dates"])
 
 
-def profile_long(profile: Profile) -> DataFrame:
-    """All profile figures as (kind, column, metric, value as text)."""
+def profile_long(profile: Profile, digits: int | None = None) -> DataFrame:
+    """All profile figures as (kind, column, metric, value as text).
+
+    With ``digits`` numbers have that many decimals; take an unrounded profile for it, since rounding twice
+    can go the other way.
+    """
     parts = None
     for kind, frame in (
         ("numeric", profile.numeric),
@@ -267,8 +272,12 @@ def profile_long(profile: Profile) -> DataFrame:
         ("datetime", profile.datetime),
     ):
         metrics = [c for c in frame.columns if c not in ("position", "column", "top_values")]
+        numbers = numeric_names(frame) if digits is not None else []
         cells = [
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("value"))
+            F.struct(
+                F.lit(m).alias("metric"),
+                (fixed(F.col(m), digits, False) if m in numbers else F.col(m).cast("string")).alias("value"),
+            )
             for m in metrics
         ]
         part = frame.select(F.lit(kind).alias("kind"), "column", F.inline(F.array(*cells)))

@@ -63,7 +63,7 @@ class _Ranks:
             return None
         first, second = (self.known[rank] for rank in self.neighbours(probability))
         share = probability * (self.count - 1) % 1
-        return first if first == second else first + (second - first) * share
+        return first if first == second else first * (1 - share) + second * share
 
 
 def numeric_value(name: str) -> Column:
