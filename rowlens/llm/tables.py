@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,3 +40,35 @@ def numbered_columns(df: DataFrame) -> DataFrame:
 
 def in_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(max_chunksize=OUT_ROWS)
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts one after the other, so that they are not all Python objects at once."""
+    return (text.as_py() for text in column)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; both allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for ``mapInArrow`` that returns its memory after every batch.
+
+    Spark keeps Python workers for later tasks, so what they hold on to adds up beside the next stages.
+    """
+
+    def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(returning(batches))
+        _give_back()
+
+    return run

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import extended, in_batches, shuffle_partitions
+from rowlens.llm.tables import extended, frugal, in_batches, shuffle_partitions, texts_of
 from rowlens.llm.tokens import END_ID, VOCABULARY, encoded
 
 ROW_GROUP_BYTES = 32 << 20
@@ -64,7 +64,7 @@ def write_token_files(
                     )
                 )
 
-            for ids in encoded(batch.column(2).to_pylist(), vocabulary, end):
+            for ids in encoded(texts_of(batch.column(2)), vocabulary, end):
                 parts.append(ids)
                 lengths.append(len(ids) // 4)
                 held += lengths[-1]
@@ -80,7 +80,7 @@ def write_token_files(
         "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": str(not delta).lower(),
         "parquet.writer.version": "v2" if delta else "v1", "compression": "zstd",
     }
-    sorted_rows.mapInArrow(work, schema).withColumnRenamed("own_id", id_column).write.options(
+    sorted_rows.mapInArrow(frugal(work), schema).withColumnRenamed("own_id", id_column).write.options(
         **options
     ).parquet(path)
     return path

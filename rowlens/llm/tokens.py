@@ -12,14 +12,18 @@ from __future__ import annotations
 import importlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rowlens.llm.words import mixed
+
 #: Bytes of words and ids remembered per process; further words are encoded in each block that has them.
-REMEMBERED_BYTES = 16 << 20
+REMEMBERED_BYTES = 24 << 20
+#: Odd factors of the key of a word, one for each place of a byte.
+KEY_FACTORS = np.random.default_rng(20_240_503).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Characters of texts encoded together.
 BLOCK_CHARS = 1_500_000
 #: Words given to the library as one text.
@@ -48,27 +52,73 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def _word_keys(words: pa.Array) -> np.ndarray:
+    """A 64-bit key of each word (large strings without nulls); different words may share one."""
+    _, edges, data = words.buffers()
+    edges = np.frombuffer(edges, np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    place = np.arange(len(data)) - np.repeat(edges[:-1], np.diff(edges))
+    # A zero at the end, so that an empty word there has a place to begin.
+    terms = np.append((data + np.uint64(1)) * KEY_FACTORS[place % len(KEY_FACTORS)], np.uint64(0))
+    sums = np.add.reduceat(terms, edges[:-1]) if len(words) else np.zeros(0, np.uint64)
+    return mixed(np.where(np.diff(edges) > 0, sums, np.uint64(0)))
+
+
 class Remembered:
-    """Distinct words and their ids, as plain arrays."""
+    """Distinct words and their ids, as plain arrays, found by a sorted list of keys.
+
+    A key only says where to look; the words themselves are compared.
+    """
 
     def __init__(self):
         self.words = pa.array([], pa.large_string())
         self.ids = np.zeros(0, "<u4")
         self.first = np.zeros(1, np.int64)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _places_of(self, distinct: pa.Array, keys: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it is not remembered."""
+        place = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return place
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        likely = np.flatnonzero(self.keys[at] == keys)
+        where = self.places[at[likely]]
+        same = pc.equal(distinct.take(pa.array(likely)), self.words.take(pa.array(where)))
+        same = same.to_numpy(zero_copy_only=False).astype(bool)
+        place[likely[same]] = where[same]
+        return place
+
+    def _remember(self, words: pa.Array, keys: np.ndarray) -> None:
+        """Add words that are not there; of those with one key the first can be found."""
+        fresh, which = np.unique(keys, return_index=True)
+        at = np.searchsorted(self.keys, fresh)
+        if len(self.keys):
+            unknown = self.keys[np.minimum(at, len(self.keys) - 1)] != fresh
+            fresh, which, at = fresh[unknown], which[unknown], at[unknown]
+        self.places = np.insert(self.places, at, (len(self.words) + which).astype(np.int32))
+        self.keys = np.insert(self.keys, at, fresh)
+        self.words = pa.concat_arrays([self.words, words])
+
+    def nbytes(self) -> int:
+        parts = (self.words, self.ids, self.first, self.keys, self.places)
+        return sum(part.nbytes for part in parts)
 
     def ids_of(self, distinct: pa.Array, learn, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and for each word its first place there and its number of ids."""
-        place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        keys = _word_keys(distinct)
+        place = self._places_of(distinct, keys)
         new = np.flatnonzero(place < 0)
         ids, first = self.ids, self.first
         if len(new):
             words = distinct.take(pa.array(new))
-            more, sizes = learn(words.to_pylist())
+            more, sizes = learn(words)
             ids = np.concatenate([ids, more])
             first = np.concatenate([first, first[-1] + np.cumsum(sizes)])
             place[new] = len(self.words) + np.arange(len(new))
-            if self.words.nbytes + self.ids.nbytes + self.first.nbytes < most:
-                self.words = pa.concat_arrays([self.words, words])
+            if self.nbytes() < most:
+                self._remember(words, keys[new])
                 self.ids, self.first = ids, first
         return ids, first[place], first[place + 1] - first[place]
 
@@ -91,15 +141,15 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str], blank: str) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: pa.Array, blank: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without white space, each after ``blank``, and how many each has.
 
         Many words go to the library as one text, one in a line; no word has the id of a line break.
         """
-        lines = [
-            "\n".join([blank + word for word in words[k : k + JOINED]])
-            for k in range(0, len(words), JOINED)
-        ]
+        edges = np.append(np.arange(0, len(words), JOINED), len(words))
+        grouped = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), words)
+        joined = pc.binary_join(grouped, pa.scalar("\n" + blank, pa.large_string()))
+        lines = [blank + line for line in joined.to_pylist()]
         ids: list[int] = []
         for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
             ids += line.ids
@@ -163,7 +213,7 @@ def encoder(name: str = VOCABULARY) -> Encoder:
     return _encoders[name]
 
 
-def encoded(texts: list[str | None], name: str = VOCABULARY, end: int | None = END_ID) -> Iterator[bytes]:
+def encoded(texts: Iterable[str | None], name: str = VOCABULARY, end: int | None = END_ID) -> Iterator[bytes]:
     """Ids of each text with the end id; null texts are empty. Works on bounded blocks of texts."""
     tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
     worker, block, size = encoder(name), [], 0
