@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import extended, in_batches, numbered_columns
+from rowlens.llm.tables import extended, frugal, in_batches, numbered_columns
 
 #: n-grams in a profile, of a language and of a text.
 PROFILE = 400
@@ -128,7 +128,7 @@ def learn_profiles(
                     pa.table({"lang": pa.array([lang] * len(codes), pa.string()), "gram": codes, "n": total})
                 )
 
-    total = some.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(
+    total = some.mapInArrow(frugal(work), "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -191,7 +191,7 @@ def identify(
                 schema.names,
             )
 
-    return plain.mapInArrow(work, schema).toDF(*others, "lang_pred", "score")
+    return plain.mapInArrow(frugal(work), schema).toDF(*others, "lang_pred", "score")
 
 
 #: Below this score a text is like none of the languages; for :func:`keep_identified`.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import numbered_columns
+from rowlens.llm.tables import frugal, numbered_columns
 from rowlens.llm.words import word_spans
 from rowlens.session import small_table
 
@@ -301,4 +301,4 @@ def mixed_texts(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return joined.mapInArrow(work, schema).toDF(*names)
+    return joined.mapInArrow(frugal(work), schema).toDF(*names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.tables import numbered_columns, extended, in_batches
+from rowlens.llm.tables import extended, frugal, in_batches, numbered_columns, texts_of
 from rowlens.llm.tokens import END_ID, VOCABULARY, encoded
 from rowlens.session import stage_table
 
@@ -105,7 +105,7 @@ def tokenised_pieces(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken, found, kept = [], [], []
-            for row, ids in enumerate(encoded(batch.column(1).to_pylist(), vocabulary, end)):
+            for row, ids in enumerate(encoded(texts_of(batch.column(1)), vocabulary, end)):
                 total = len(ids) // 4
                 low, high = 0, (total - 1) % capacity + 1
                 piece = 0
@@ -122,7 +122,7 @@ def tokenised_pieces(
             if found:
                 yield from rows(taken, found, kept, batch.column(0))
 
-    return plain.mapInArrow(work, schema)
+    return plain.mapInArrow(frugal(work), schema)
 
 
 def _slots(patterns: list[tuple[list[tuple[int, int]], int]], capacity: int) -> dict[int, np.ndarray]:

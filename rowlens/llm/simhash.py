@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.components import connected_components
-from rowlens.llm.tables import extended, numbered_columns
+from rowlens.llm.tables import extended, frugal, numbered_columns
 from rowlens.session import stage_table
 
 BITS = 64
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS
 
     plain = numbered_columns(docs.select(*[F.col(f"`{c}`") for c in [*others, text]]))
     schema = extended(plain.drop(plain.columns[-1]).schema, "fingerprint long")
-    return plain.mapInArrow(work, schema).toDF(*others, "fingerprint")
+    return plain.mapInArrow(frugal(work), schema).toDF(*others, "fingerprint")
 
 
 class BKTree:

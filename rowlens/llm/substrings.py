@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowlens.llm.tables import extended, in_batches, numbered_columns, shuffle_partitions
+from rowlens.llm.tables import extended, frugal, in_batches, numbered_columns, shuffle_partitions
 from rowlens.llm.words import mixed, sequence_hashes, text_blocks, word_counts, word_hashes, word_spans
 from rowlens.session import stage_table
 
@@ -112,7 +112,7 @@ def _paths(texts: DataFrame, window: int, anchor: int, hot: np.ndarray) -> DataF
                     )
                 )
 
-    return texts.mapInArrow(work, schema)
+    return texts.mapInArrow(frugal(work), schema)
 
 
 def _hot_anchors(texts: DataFrame, window: int, anchor: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _windows(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
     lists = places.groupBy("key").agg(F.collect_list(F.struct("copy", "place", "asks")).alias("places"))
     joined = texts.join(lists, "key").select("key", "copy", "text", "places")
-    return joined.mapInArrow(work, schema)
+    return joined.mapInArrow(frugal(work), schema)
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -303,7 +303,7 @@ def _rewritten(
         kinds = [*(f.type for f in batch.schema)][: batch.num_columns - 3] + [pa.int64(), pa.int64(), pa.string()]
         return pa.schema(list(zip(schema.names, kinds)))
 
-    return table.mapInArrow(work, schema)
+    return table.mapInArrow(frugal(work), schema)
 
 
 def remove_repeats(

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Seed of the word hashes and of the factors of sequence hashes.
 SEED = 20_240_501
 
@@ -84,20 +84,24 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash (XXH3) of each word's bytes; equal words have equal hashes wherever they are.
+    """A 64-bit hash (XXH3) of each word of a block; equal words have equal hashes wherever they are.
 
-    Every distinct word of the block is hashed once.
+    The places are those of all words, as ``word_spans`` gives them. Every distinct word of the block is
+    hashed once.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    bytes_of = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    buffers = [None, pa.py_buffer(offsets.astype(np.int32 if offsets[-1] < 1 << 31 else np.int64)), pa.py_buffer(bytes_of)]
-    kind = pa.binary() if offsets[-1] < 1 << 31 else pa.large_binary()
+    kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+    offsets = np.zeros(len(starts) + 1, width)
+    np.cumsum(ends - starts, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[~_SPACE[data]])]
     coded = pa.Array.from_buffers(kind, len(starts), buffers).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct))
+    _, edges, raw = coded.dictionary.buffers()
+    count = len(coded.dictionary)
+    edges = np.frombuffer(edges, width)[: count + 1].tolist()
+    # Words are cut one by one from the bytes; a list of all of them would be far larger.
+    distinct = map(raw.to_pybytes().__getitem__, map(slice, edges, edges[1:]))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct, repeat(SEED)), np.uint64, count)
     return hashes[coded.indices.to_numpy()]
 
 
